@@ -8,7 +8,7 @@ and each hit is extended to a passage and measured exactly.
 The test side is cut into blocks of bounded size; each block's fingerprints travel to the tasks and
 are probed by all documents. One block is the normal case; any number of items works.
 
-Defined results: null or empty texts match nothing; sentences that at least ``shared`` items have
+Defined results: null or empty texts match nothing; word runs that at least ``shared`` items have
 are standing instructions and are left out of the items; a null id is skipped; repeated documents
 are each reported; very long texts are processed whole; extra columns are ignored.
 """
@@ -19,6 +19,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -166,15 +167,18 @@ def longest_passage(item: list, doc: list, seeds: list[tuple[int, int]]) -> int:
     return best if best >= MIN_WORDS else 0
 
 
-def item_words(items: DataFrame, shared: int = 3) -> DataFrame:
-    """Items with their plain words; a null stands where a standing sentence was. Columns: item_id, ws."""
-    plain = F.udf(lambda t: [" ".join(words(s)) for s in re.split(r"(?<=[.?!;])\s+", t or "")], T.ArrayType(T.StringType()))
-    s = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").withColumn("s", plain("text"))
-    s = s.select("item_id", F.posexplode("s").alias("n", "s")).where("s <> ''")
-    common = s.select("item_id", "s").distinct().groupBy("s").count().where(F.col("count") >= shared).select("s", F.lit(True).alias("standing"))
-    s = s.join(common, "s", "left")
-    kept = F.when(F.col("standing"), F.array(F.lit(None).cast("string"))).otherwise(F.split("s", " "))
-    return s.groupBy("item_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", kept.alias("w")))), lambda x: x["w"])).alias("ws"))
+def item_words(items: DataFrame, shared: int = 3, phrase: int = 8) -> DataFrame:
+    """Items with their plain words; a null stands for each word of a standing instruction, that is,
+    of a run of ``phrase`` or more words that at least ``shared`` different items hold. Columns: item_id, ws."""
+    plain = F.udf(words, T.ArrayType(T.StringType()))
+    ws = items.select("item_id", plain("text").alias("ws")).where("item_id IS NOT NULL").where(F.size("ws") > 0)
+    starts = F.expr(f"CASE WHEN size(ws) >= {phrase} THEN sequence(1, size(ws) - {phrase - 1}) ELSE array() END")
+    grams = ws.select("item_id", F.xxhash64("ws").alias("same"), F.explode(F.transform(starts, lambda p: F.struct(p.alias("p"), F.array_join(F.slice("ws", p, phrase), " ").alias("gram")))).alias("x"))
+    grams = grams.select("item_id", "same", "x.p", "x.gram")
+    common = grams.groupBy("gram").agg(F.countDistinct("same").alias("n")).where(F.col("n") >= shared).select("gram")
+    marks = grams.join(common, "gram").groupBy("item_id").agg(F.collect_set("p").alias("ps"))
+    gone = lambda w, i: F.when(F.exists("ps", lambda p: (i + 1 >= p) & (i + 1 < p + phrase)), F.lit(None)).otherwise(w)
+    return ws.join(marks, "item_id", "left").select("item_id", F.when(F.col("ps").isNull(), F.col("ws")).otherwise(F.transform("ws", gone)).alias("ws"))
 
 
 def _probe(block: list[tuple[int, list]]):
@@ -193,31 +197,35 @@ def _probe(block: list[tuple[int, list]]):
     order = np.argsort(hashes, kind="stable")
     hashes, place = hashes[order], np.array(where, np.int64).reshape(-1, 2)[order]
 
+    def run_of(item: list, doc: list, i: int, d: int) -> int:
+        a, b = i, d
+        while a and b and item[a - 1] is not None and item[a - 1] == doc[b - 1]:
+            a, b = a - 1, b - 1
+        while i < len(item) and d < len(doc) and item[i] is not None and item[i] == doc[d]:
+            i, d = i + 1, d + 1
+        return i - a
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = vocab.get
         for frame in frames:
+            lists = [words(t) for t in frame["text"]]
+            ends = np.cumsum([len(x) + 1 for x in lists])  # one unknown word keeps documents apart
+            flat = chain.from_iterable((*x, "") for x in lists)
+            ids = np.fromiter(map(vocab.get, flat, repeat(0)), np.int64, int(ends[-1]) if len(ends) else 0)
+            h = _grams(ids)
+            at = _winnow(h)
+            lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+            seeds: dict[tuple[int, int], list] = {}
+            for k in np.flatnonzero(hi > lo):
+                n_doc = int(np.searchsorted(ends, at[k], "right"))
+                start = int(ends[n_doc - 1]) if n_doc else 0
+                for n, p in place[lo[k] : hi[k]]:
+                    seeds.setdefault((n_doc, int(n)), []).append((int(p), int(at[k]) - start))
             out = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                ws = words(text)
-                if len(ws) < MIN_WORDS:
-                    continue
-                ids = np.fromiter((get(w, 0) for w in ws), np.int64, len(ws))
-                h = _grams(ids)
-                at = _winnow(h)
-                if not len(at):
-                    continue
-                lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
-                hit = np.flatnonzero(hi > lo)
-                if not len(hit):
-                    continue
-                seeds: dict[int, list] = {}
-                for k in hit:
-                    for n, p in place[lo[k] : hi[k]]:
-                        seeds.setdefault(int(n), []).append((int(p), int(at[k])))
-                doc = ids.tolist()
-                for n, s in seeds.items():
-                    if (size := longest_passage(coded[n][1], doc, s)):
-                        out.append((doc_id, coded[n][0], size))
+            for (n_doc, n), s in seeds.items():
+                doc = ids[(int(ends[n_doc - 1]) if n_doc else 0) : int(ends[n_doc]) - 1].tolist()
+                item = coded[n][1]
+                if any(run_of(item, doc, i, d) >= K + WINDOW - 1 for i, d in s) and (size := longest_passage(item, doc, s)):
+                    out.append((frame["doc_id"].iat[n_doc], coded[n][0], size))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words"])
 
     return run
