@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.leak import leaked
+from loomspark.llm.mixing import mix
+from loomspark.llm.neighbours import close_pairs, nearest, usable
 from loomspark.llm.pairs import together
 from loomspark.session import table
 
@@ -27,7 +29,39 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_odds": p5_odds, "p8_found": p8_found}
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return usable(table(spark, d, "chunk_embeddings", "repo_path", "node_id", "model_version", "vector", "created_at"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    p = close_pairs(_vectors(spark, d))
+    return p.select(F.col("g").alias("repo_path"), F.col("v").alias("model_version"), F.col("a").alias("node_a"), F.col("b").alias("node_b"))
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar vectors of every vector."""
+    n = nearest(_vectors(spark, d))
+    return n.select(F.col("g").alias("repo_path"), F.col("v").alias("model_version"), F.col("node").alias("node_id"), F.col("other").alias("neighbour_id"), "rank", "similarity")
+
+
+def _mix(spark: SparkSession, d: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    return mix(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets", "source", "target_share", "max_repeats"), strict=strict)
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+def p9_strict_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the largest mixture in which every source holds its share."""
+    return _mix(spark, d, strict=True)[1]
+
+
+QUERIES = {"p5_found": p5_found, "p5_odds": p5_odds, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_strict_shares": p9_strict_shares}
 
 _P5 = """
 WITH raw AS (SELECT repo_path g, sha, unnest(from_json(files_json, '["VARCHAR"]')) p FROM commits),
