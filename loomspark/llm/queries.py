@@ -9,6 +9,7 @@ from loomspark.llm.leak import leaked
 from loomspark.llm.mixing import mix
 from loomspark.llm.neighbours import close_pairs, nearest, usable
 from loomspark.llm.pairs import together
+from loomspark.llm.reading import fit, grades, level
 from loomspark.session import table
 
 
@@ -61,7 +62,28 @@ def p9_strict_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d, strict=True)[1]
 
 
-QUERIES = {"p5_found": p5_found, "p5_odds": p5_odds, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_strict_shares": p9_strict_shares}
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents", "doc_id", "text", "source")
+    return grades(documents, fit(documents, table(spark, d, "reading_ratings", "doc_id", "rating")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _graded(spark, d).where(F.col("english") & (level(F.col("grade")) == 4)).select("doc_id")
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Grade and level of every document; null where it has no English prose."""
+    return _graded(spark, d).select("doc_id", "english", "prose_words", "grade", level(F.col("grade")).alias("level"))
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per source and level."""
+    g = _graded(spark, d).select("doc_id", level(F.col("grade")).alias("level"))
+    s = table(spark, d, "documents", "doc_id", "source").select("doc_id", F.lower(F.trim("source")).alias("source"))
+    return g.join(s, "doc_id").groupBy("source", "level").agg(F.count("*").alias("n_docs"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_odds": p5_odds, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p10_found": p10_found, "p10_levels": p10_levels, "p10_profile": p10_profile, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_strict_shares": p9_strict_shares}
 
 _P5 = """
 WITH raw AS (SELECT repo_path g, sha, unnest(from_json(files_json, '["VARCHAR"]')) p FROM commits),
