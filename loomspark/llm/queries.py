@@ -5,14 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm.docpairs import documented_functions
+from loomspark.llm.handwritten import judge_files
 from loomspark.llm.leak import leaked
 from loomspark.llm.mixing import mix
 from loomspark.llm.neighbours import close_pairs, nearest, usable
 from loomspark.llm.pairs import together
 from loomspark.llm.reading import fit, grades, level
+from loomspark.llm.syntax import check_files, failure_rates
 from loomspark.session import table
 
 
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sources", "repo_path", "path", "modified_at", "content")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return documented_functions(_sources(spark, d)).select("repo_path", "path", "func_name", "func_line").distinct()
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code and documentation of every documented function."""
+    return documented_functions(_sources(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return judge_files(_sources(spark, d)).where("verdict <> ''").select("repo_path", "path")
+
+
+def p2_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Files per repository, language and verdict."""
+    v = judge_files(_sources(spark, d))
+    return v.groupBy("repo_path", "language", F.when(F.col("verdict") == "", "hand-written").otherwise(F.col("verdict")).alias("verdict")).agg(F.count("*").alias("n_files"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return check_files(_sources(spark, d)).where("edit_cost > 0").select("repo_path", "path")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of broken files per repository and language, with subtotals."""
+    return failure_rates(check_files(_sources(spark, d)))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     commits = table(spark, d, "commits", "repo_path", "sha", "files_json")
     pairs = together(commits, max_items=50, min_count=6, min_lift=3.0)
@@ -83,7 +118,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return g.join(s, "doc_id").groupBy("source", "level").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_odds": p5_odds, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p10_found": p10_found, "p10_levels": p10_levels, "p10_profile": p10_profile, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_strict_shares": p9_strict_shares}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_verdicts": p2_verdicts, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_odds": p5_odds, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p10_found": p10_found, "p10_levels": p10_levels, "p10_profile": p10_profile, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_strict_shares": p9_strict_shares}
 
 _P5 = """
 WITH raw AS (SELECT repo_path g, sha, unnest(from_json(files_json, '["VARCHAR"]')) p FROM commits),
