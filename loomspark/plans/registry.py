@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import training
+from loomspark.plans import graph, repository, training
 
-_MODULES = [training]
+_MODULES = [training, repository, graph]
 FLAGSHIP = "p6_found"
 
 
