@@ -63,6 +63,10 @@ def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     return w.select("key", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("ws", lambda x: x == F.lit(term)))
+
+
 def bm25(texts: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of texts that hold a term of the query. Only query terms are counted in each text,
     inside the row: nothing is exploded and one row a text reaches the aggregation."""
@@ -70,7 +74,7 @@ def bm25(texts: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b:
     terms = list(dict.fromkeys(r for r in spark.range(1).select(F.regexp_extract_all(F.lower(F.lit(query)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("t")).first()["t"]))
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     w = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), words.alias("ws"))
-    w = w.select("key", F.size("ws").alias("dl"), *[F.size(F.filter("ws", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(terms)])
+    w = w.select("key", F.size("ws").alias("dl"), *[_occurrences(t).alias(f"t{i}") for i, t in enumerate(terms)])
     stats = w.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))])
     j = w.where(" OR ".join(f"t{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(stats))  # one row of statistics
     score: Column = F.lit(0.0)

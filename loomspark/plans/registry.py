@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomspark.plans import graph, repository, training
+from loomspark.plans import graph, repository, search, training
 
-_MODULES = [training, repository, graph]
-FLAGSHIP = "p6_found"
+_MODULES = [training, repository, graph, search]
+FLAGSHIP = "keyword_search"
 
 
 def queries() -> dict:
