@@ -40,9 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    fallback = f"file://{tempfile.gettempdir()}/loomspark-{spark.sparkContext.applicationId}"
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return f"file://{tempfile.gettempdir()}/loomspark-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
