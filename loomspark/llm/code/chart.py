@@ -138,7 +138,7 @@ class Chart:
     def _cost(self, start: str, kinds: tuple[str, ...]) -> int:
         if self._exact(start, kinds):
             return 0
-        most = self.MOST if len(kinds) <= 12 else self.MOST - 1 if len(kinds) <= 24 else self.MOST - 2 if len(kinds) <= 60 else 0
+        most = self.MOST if len(kinds) <= 8 else self.MOST - 1 if len(kinds) <= 16 else self.MOST - 2 if len(kinds) <= 40 else 0
         for budget in range(1, most + 1):
             c = self._repair(start, kinds, budget)
             if c is not None:
