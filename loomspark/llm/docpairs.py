@@ -380,7 +380,7 @@ class _File:
 
 def pairs_of(path: str, text: str) -> Iterator[tuple[str, int, str, str]]:
     """(name, line, code, documentation) of the documented functions of a file that parses."""
-    j = judge(path, text)
+    j = judge(path, text, count=False)
     if j is None or j[1] or j[0] not in _LANGS:
         return
     f = _File(j[0], text, j[4])

@@ -58,13 +58,16 @@ def accepts(lang: str, text: str) -> bool:
     return True
 
 
-def judge(path: str, text: str) -> tuple[str, int, str, int, Tree] | None:
-    """(language, edit cost, reason, line of the first edit, tree) of one file; None without a grammar."""
+def judge(path: str, text: str, count: bool = True) -> tuple[str, int, str, int, Tree] | None:
+    """(language, edit cost, reason, line of the first edit, tree) of one file; None without a grammar.
+
+    Without ``count`` only whether the cost is 0 matters to the caller.
+    """
     lang = language(path)
     if lang is None:
         return None
     try:
-        cost, edits, tree, pieces = parser(lang).file(text)
+        cost, edits, tree, pieces = parser(lang).file(text, count)
     except RecursionError:
         _PARSERS.pop(lang, None)
         tree = Tree.__new__(Tree)
