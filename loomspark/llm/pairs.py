@@ -40,18 +40,18 @@ def normal_path(p: Column) -> Column:
 
 
 def baskets(records: DataFrame, group: str, record: str, items_json: str, max_items: int) -> DataFrame:
-    """(g, c, keys): one row per countable record with the distinct 64-bit keys of its items.
+    """(g, ch, cl, keys): one row per countable record with the distinct 64-bit keys of its items.
 
-    ``c`` is a 96-bit hash of the record's id, enough to tell any number of records apart.
+    ``ch`` and ``cl`` are a 96-bit hash of the record's id, enough to tell any number of records apart.
     """
     lists = F.from_json(F.col(items_json), "array<string>")
     named = F.filter(F.transform(lists, normal_path), lambda x: x.isNotNull() & (x != ""))
     keys = F.array_sort(F.array_distinct(F.transform(named, lambda x: F.xxhash64(F.col("g"), x))))
     base = records.select(F.col(group).alias("g"), F.col(record).alias("rec"), F.col(items_json)).where("g IS NOT NULL AND rec IS NOT NULL")
-    rows = base.select("g", F.struct(F.xxhash64("g", "rec").alias("h"), F.hash("rec", "g").alias("l")).alias("c"), F.coalesce(keys, F.array().cast("array<bigint>")).alias("keys"))
-    merged = rows.groupBy("g", "c").agg(F.collect_set("keys").alias("all"))
+    rows = base.select("g", F.xxhash64("g", "rec").alias("ch"), F.hash("rec", "g").alias("cl"), F.coalesce(keys, F.array().cast("array<bigint>")).alias("keys"))
+    merged = rows.groupBy("g", "ch", "cl").agg(F.collect_set("keys").alias("all"))
     one = F.when(F.size("all") == 1, F.element_at("all", 1)).otherwise(F.array_distinct(F.flatten("all")))
-    return merged.select("g", "c", one.alias("keys")).where((F.size("keys") > 0) & (F.size("keys") <= max_items))
+    return merged.select("g", "ch", "cl", one.alias("keys")).where((F.size("keys") > 0) & (F.size("keys") <= max_items))
 
 
 def item_names(records: DataFrame, group: str, items_json: str) -> DataFrame:
@@ -128,8 +128,8 @@ def together(records: DataFrame, group: str = "repo_path", record: str = "sha",
     whole = F.when(F.col("rank") < (1 << RANK_BITS), F.shiftleft(F.col("lane").cast("long"), RANK_BITS).bitwiseOR(F.col("rank").cast("long")))
     ids = ids.select("k", "nk", "n", F.coalesce(whole, F.raise_error(F.lit("too many items for 32-bit ids")).cast("long")).alias("id"))
     salted = ids.select("k", "id").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    seen = base.select("c", F.explode("keys").alias("k")).withColumn("salt", F.pmod(F.col("c.h"), F.lit(SALTS)).cast("int"))
-    lists = seen.join(salted, ["k", "salt"]).groupBy("c").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1).select("ids")
+    seen = base.select("ch", "cl", F.explode("keys").alias("k")).withColumn("salt", F.pmod(F.col("ch"), F.lit(SALTS)).cast("int"))
+    lists = seen.join(salted, ["k", "salt"]).groupBy("ch", "cl").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1).select("ids")
     codes = lists.mapInArrow(_pack, "code long, n long")
     merged = codes.repartition("code").sortWithinPartitions("code").mapInArrow(_run_lengths, "code long, n_ab long").where(F.col("n_ab") >= min_count)
     names = ids.join(item_names(records, group, items_json), "k")
