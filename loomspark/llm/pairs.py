@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.session import materialize
+
 #: Codes that a task sorts at once (8 bytes each) before run-length counting.
 RUN = 2_000_000
 #: Hash buckets in an item id's upper bits; the rank inside the bucket takes the other 20.
@@ -117,7 +119,7 @@ def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def together(records: DataFrame, group: str = "repo_path", record: str = "sha", items_json: str = "files_json", max_items: int = 50, min_count: int = 1, min_lift: float = 0.0) -> DataFrame:
     """Pairs with their counts: g, a, b (names, the smaller first), n_ab, n_a, n_b, n, lift, odds_ratio."""
-    base = baskets(records, group, record, items_json, max_items)
+    base = materialize(baskets(records, group, record, items_json, max_items))
     totals = base.groupBy("g").agg(F.count("*").alias("n"))
     counts = base.select("g", F.explode("keys").alias("k")).groupBy("g", "k").agg(F.count("*").alias("nk"))
     # a pair's lift is at most n / max(n_a, n_b), its count at most min(n_a, n_b)
