@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as X
-from loomspark.operators import governance, graphs, history, scans
-from loomspark.session import table
+from loomspark.operators import governance, graphs, history, scans, structure
+from loomspark.session import materialize, table
 
 
 def _nodes(s: SparkSession, d: str) -> DataFrame:
@@ -142,11 +142,33 @@ def change_risk(s, d):
     return r.groupBy("repo_path", "path").agg(F.max("risk").alias("risk"), F.count("*").alias("n_changes"))
 
 
+def _extracted(s: SparkSession, d: str) -> DataFrame:
+    src = scans.current_sources(table(s, d, "sources", "repo_path", "path", "modified_at", "content"))
+    return structure.extract(src)
+
+
+def extracted_symbols(s, d):
+    """Nodes found in the files, by kind."""
+    return _extracted(s, d).where("what = 'node'").groupBy("repo_path", "kind").agg(F.count("*").alias("n_nodes"))
+
+
+def extracted_links(s, d):
+    """Resolved edges found in the files."""
+    return structure.resolve(materialize(_extracted(s, d))).groupBy("repo_path", "relation", "confidence").agg(F.count("*").alias("n_edges"), F.count_if(F.col("target").startswith("file:") | F.col("target").startswith("symbol:")).alias("n_resolved"))
+
+
+def resolved_calls(s, d):
+    """Calls by name whose name is the label of exactly one symbol of the repository."""
+    n = _nodes(s, d).where("granularity = 'symbol'").groupBy("repo_path", "label").agg(F.count("*").alias("n"), F.min("node_id").alias("target_id")).where("n = 1")
+    e = _edges(s, d).where("relation = 'calls' AND target LIKE 'name:%'").select("repo_path", "edge_id", "source", F.expr("substring(target, 6)").alias("label"))
+    return e.join(n, ["repo_path", "label"]).where("source <> target_id").select("repo_path", "edge_id", "source", "target_id")
+
+
 def unused_symbols(s, d):
     return governance.unused_symbols(_nodes(s, d), _edges(s, d))
 
 
-QUERIES = {f.__name__: f for f in [node_kinds, node_degrees, god_nodes, file_fan_in, dangling_edges, edge_relations, tightest_containers, unique_import_targets, neighbour_bonus, page_rank, page_rank_converged, label_communities, paths_between, file_impact, surprising_links, missing_partners, change_risk, unused_symbols]}
+QUERIES = {f.__name__: f for f in [node_kinds, node_degrees, god_nodes, file_fan_in, dangling_edges, edge_relations, tightest_containers, unique_import_targets, neighbour_bonus, page_rank, page_rank_converged, label_communities, paths_between, file_impact, surprising_links, missing_partners, change_risk, extracted_symbols, extracted_links, resolved_calls, unused_symbols]}
 
 _N = "n AS (SELECT DISTINCT repo_path, node_id, kind, label, source_ref, granularity, signature, span_start, span_end FROM graph_nodes WHERE repo_path IS NOT NULL AND node_id IS NOT NULL)"
 _E = """e AS (SELECT * FROM (SELECT repo_path, edge_id, source, target, relation, layer, weight, source_file, row_number() OVER (PARTITION BY repo_path, edge_id
@@ -220,6 +242,8 @@ ms AS (SELECT f.repo_path, f.sha, f.path, max(b2.weight) AS cw FROM f JOIN b2 ON
 rk AS (SELECT f.repo_path, f.path, round(10 * (0.0 + 0.30 * least(1.0, sz.diff / 100.0) + 0.20 * least(1.0, coalesce(hs.score, 0) / 1000.0) + 0.15 * least(1.0, coalesce(fi.fan_in, 0) / 10.0) + 0.15 * coalesce(ms.cw, 0)), 2) AS risk
   FROM f JOIN sz ON sz.repo_path = f.repo_path AND sz.sha = f.sha LEFT JOIN hs ON hs.repo_path = f.repo_path AND hs.path = f.path LEFT JOIN fi ON fi.repo_path = f.repo_path AND fi.path = f.path LEFT JOIN ms ON ms.repo_path = f.repo_path AND ms.sha = f.sha AND ms.path = f.path)
 SELECT repo_path, path, max(risk) AS risk, count(*) AS n_changes FROM rk GROUP BY 1, 2""",
+    "resolved_calls": f"""WITH {_N}, {_E}, u AS (SELECT repo_path, label, min(node_id) AS target_id FROM n WHERE granularity = 'symbol' GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT e.repo_path, e.edge_id, e.source, u.target_id FROM e JOIN u ON u.repo_path = e.repo_path AND u.label = substr(e.target, 6) WHERE e.relation = 'calls' AND e.target LIKE 'name:%' AND e.source <> u.target_id""",
     "unused_symbols": f"""WITH {_N}, {_E}, cr AS (SELECT DISTINCT repo_path, target FROM e WHERE relation IN ('calls','imports','inherits','references','reads','writes','aliases','exports'))
 SELECT repo_path, node_id, label, source_ref FROM n WHERE granularity = 'symbol' AND kind IN ('func', 'class') AND NOT {_TP('source_ref')} AND label NOT IN ('main', '__main__') AND lower(split_part(source_ref, '/', -1)) <> '__main__.py' AND NOT (starts_with(label, '__') AND ends_with(label, '__'))
 AND NOT EXISTS (SELECT 1 FROM cr WHERE cr.repo_path = n.repo_path AND cr.target = n.node_id) AND NOT EXISTS (SELECT 1 FROM cr WHERE cr.repo_path = n.repo_path AND cr.target = 'name:' || n.label)""",
