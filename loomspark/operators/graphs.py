@@ -59,12 +59,13 @@ def _transitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.join(out, ["repo_path", "s"]).select("repo_path", "s", "t", (F.col("w") / F.col("total")).alias("p"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, cut_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, test_every: int = 5) -> DataFrame:
     """Personalised PageRank per repository: (repo_path, node_id, rank).
 
     ``seeds`` has repo_path, node_id, weight; a repository without a positive seed starts uniform.
-    The mass of nodes without links goes to the seeds. Links are normalised and kept once; lineage
-    is cut every few rounds by a table in the shared folder. ``tolerance`` None runs all rounds.
+    The mass of nodes without links goes to the seeds. Links are normalised and kept once, each
+    round is a table in the shared folder, and convergence is tested every few rounds.
+    ``tolerance`` None runs all rounds.
     """
     ok = nodes.where("kind <> 'commit' AND node_id NOT LIKE 'commit:%'").select("repo_path", "node_id").distinct()
     links = materialize(_transitions(nodes, edges))
@@ -82,16 +83,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
         lost = rank.groupBy("repo_path").agg(F.sum(F.when(~F.col("linked"), F.col("r")).otherwise(0.0)).alias("lost"))
         got = rank.join(links.withColumnRenamed("s", "node_id"), ["repo_path", "node_id"]).groupBy("repo_path", F.col("t").alias("node_id")).agg(F.sum(F.col("r") * F.col("p")).alias("g"))
         nxt = rank.join(got, ["repo_path", "node_id"], "left").join(lost, "repo_path").select("repo_path", "node_id", "v", "linked", ((1 - damping) * F.col("v") + damping * (F.coalesce("g", F.lit(0.0)) + F.col("lost") * F.col("v"))).alias("r"), F.col("r").alias("old"))
-        if tolerance is not None:
-            nxt = materialize(nxt)
+        # a round reads its input three times, so each round is written once
+        nxt = materialize(nxt)
+        rank = nxt.drop("old")
+        if tolerance is not None and i % test_every == 0:
             worst = nxt.groupBy("repo_path").agg(F.sum(F.abs(F.col("r") - F.col("old"))).alias("d")).agg(F.max("d")).first()[0]
-            rank = nxt.drop("old")
             if worst is None or worst < tolerance:
                 break
-        else:
-            rank = nxt.drop("old")
-            if i % cut_every == 0 and i < rounds:
-                rank = materialize(rank)
     total = rank.groupBy("repo_path").agg(F.sum("r").alias("rt"))
     return rank.join(total, "repo_path").select("repo_path", "node_id", (F.col("r") / F.col("rt")).alias("rank"))
 

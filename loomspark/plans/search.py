@@ -9,7 +9,7 @@ from loomspark.functions import text as X
 from loomspark.operators import governance, graphs, history, retrieval, scans
 from loomspark.plans.graph import _DEG, _E, _N, _edges, _nodes
 from loomspark.plans.repository import _CUR, _LINES, _STEM, _SUF, _sources
-from loomspark.session import table
+from loomspark.session import materialize, table
 
 TASK = "Where does the scanner mask a stale lease of the ledger?"
 WORDS = "stale lease ledger"
@@ -95,6 +95,28 @@ def packed_context(s, d):
     return retrieval.pack(items).select(F.col("group").alias("repo_path"), F.col("id").alias("path"), "tokens", "taken")
 
 
+def context_bundle(s, d):
+    """The flagship retrieval: keyword scores, fused lists and personalised rank, packed into a budget.
+
+    final = keyword score + 40 x fused score + 10 x rank, for files of every repository.
+    """
+    cur = materialize(_sources(s, d))
+    k = materialize(retrieval.keyword_scores(cur, TASK))
+    w = Window.partitionBy("repo_path").orderBy(F.desc("score"), "path")
+    first = k.withColumn("pos", F.row_number().over(w)).where("pos <= 50")
+    named = cur.where(F.arrays_overlap(X.term_set(X.stem(F.col("path"))), F.array(*[F.lit(t) for t in retrieval.query_terms(s, TASK)])))
+    wn = Window.partitionBy("repo_path").orderBy("path")
+    lists = first.select(F.col("repo_path").alias("group"), F.lit("keyword").alias("list_id"), F.col("path").alias("id"), "pos").unionByName(named.select(F.col("repo_path").alias("group"), F.lit("name").alias("list_id"), F.col("path").alias("id"), F.row_number().over(wn).alias("pos")))
+    fused = retrieval.rrf(lists).select(F.col("group").alias("repo_path"), F.col("id").alias("path"), F.col("score").alias("fused"))
+    seeds = first.where("score > 0").select("repo_path", F.concat(F.lit("file:"), "path").alias("node_id"), F.col("score").alias("weight"))
+    rank = graphs.pagerank(materialize(_nodes(s, d)), materialize(_edges(s, d)), seeds, rounds=8, tolerance=None).select("repo_path", F.expr("substring(node_id, 6)").alias("path"), "rank")
+    t = cur.select("repo_path", "path", X.token_estimate(F.col("content"), X.classify_path(F.col("path"))).alias("tokens"))
+    final = k.join(fused, ["repo_path", "path"], "left").join(rank, ["repo_path", "path"], "left").join(t, ["repo_path", "path"])
+    score = F.col("score") + 40 * F.coalesce("fused", F.lit(0.0)) + 10 * F.coalesce("rank", F.lit(0.0))
+    packed = retrieval.pack(final.select(F.col("repo_path").alias("group"), F.col("path").alias("id"), score.alias("score"), "tokens"))
+    return packed.select(F.col("group").alias("repo_path"), F.col("id").alias("path"), "tokens", "taken")
+
+
 def usage_ledger(s, d):
     e = table(s, d, "events", "ts", "event_type", "value").withColumn("base", F.col("value") * 3)
     return governance.usage_rollup(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", "base")
@@ -116,7 +138,7 @@ def retrieval_quality(s, d):
     return m.select("task", *[F.round(c, 6).alias(c) for c in ("precision", "p_at_3", "recall")])
 
 
-QUERIES = {f.__name__: f for f in [identifier_terms, task_idf, keyword_search, text_search, text_postings, first_hit_lines, fused_ranking, symbol_search, references, vector_search, packed_context, usage_ledger, embedding_scan, retrieval_quality]}
+QUERIES = {f.__name__: f for f in [identifier_terms, task_idf, keyword_search, text_search, text_postings, first_hit_lines, fused_ranking, symbol_search, references, vector_search, packed_context, context_bundle, usage_ledger, embedding_scan, retrieval_quality]}
 
 
 def _tok(c: str) -> str:
