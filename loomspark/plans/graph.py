@@ -42,7 +42,7 @@ def god_nodes(s, d):
 
     n = _nodes(s, d).where("kind = 'file'").select("repo_path", "node_id").join(graphs.degrees(_edges(s, d)), ["repo_path", "node_id"], "left").fillna(0, ["degree"])
     w = Window.partitionBy("repo_path").orderBy(F.desc("degree"), "node_id")
-    return n.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("repo_path", "node_id", "degree", "rank")
+    return n.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("repo_path", "node_id", "degree", F.col("rank").cast("long").alias("rank"))
 
 
 def file_fan_in(s, d):
@@ -108,7 +108,7 @@ def paths_between(s, d):
 
 def file_impact(s, d):
     i = graphs.impact(_nodes(s, d), _file_links(s, d))
-    return i.select("repo_path", "path", "neighbour", F.round("score", 6).alias("score"), "why", "rank")
+    return i.select("repo_path", "path", "neighbour", F.round("score", 6).alias("score"), "why", F.col("rank").cast("long").alias("rank"))
 
 
 def surprising_links(s, d):
@@ -120,7 +120,7 @@ def surprising_links(s, d):
     pair = (X.is_test_path(F.col("a")) != X.is_test_path(F.col("b"))) & (X.test_base(F.col("a")) == X.test_base(F.col("b")))
     c = c.where((folder("a") != folder("b")) & ~pair)
     w = Window.partitionBy("repo_path").orderBy(F.desc("weight"), "a", "b")
-    return c.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("repo_path", "a", "b", F.round("weight", 6).alias("weight"), "rank")
+    return c.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("repo_path", "a", "b", F.round("weight", 6).alias("weight"), F.col("rank").cast("long").alias("rank"))
 
 
 def _changed(s: SparkSession, d: str) -> DataFrame:

@@ -117,7 +117,7 @@ def recent_commits(s, d):
 
     c = scans.latest(table(s, d, "commits", "repo_path", "sha", "authored_at", "summary"), ["repo_path", "sha"], ["authored_at"])
     w = Window.partitionBy("repo_path").orderBy(F.desc("authored_at"), "sha")
-    return c.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("repo_path", "sha", "authored_at", "rank")
+    return c.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("repo_path", "sha", "authored_at", F.col("rank").cast("long").alias("rank"))
 
 
 def test_pairs(s, d):

@@ -35,7 +35,7 @@ def task_idf(s, d):
 def keyword_search(s, d):
     k = retrieval.keyword_scores(_sources(s, d), TASK)
     w = Window.partitionBy("repo_path").orderBy(F.desc("score"), "path")
-    return k.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where("rank <= 50").select("repo_path", "path", F.round("keyword", 6).alias("keyword"), "score", "rank")
+    return k.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where("rank <= 50").select("repo_path", "path", F.round("keyword", 6).alias("keyword"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def text_search(s, d):
