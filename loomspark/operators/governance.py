@@ -54,6 +54,22 @@ def unused_symbols(nodes: DataFrame, edges: DataFrame, lines_with: DataFrame | N
     return s.join(by_name, ["repo_path", "label"], "left_anti").select("repo_path", "node_id", "label", "source_ref")
 
 
+def unused_tiers(unused: DataFrame, sources: DataFrame) -> DataFrame:
+    """Confidence that an unused symbol is dead: high where no other file holds its name, medium where
+    only documents do, else low. (repo_path, node_id, label, source_ref, tier)
+
+    Files are reduced to their distinct words before the join, so no line meets every symbol.
+    """
+    words = F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
+    w = sources.where("content IS NOT NULL").select("repo_path", "path", (X.suffix_bucket(F.col("path")) == "doc").alias("doc"), F.explode(words).alias("label"))
+    names = unused.select("repo_path", "label").distinct()
+    w = w.join(names, ["repo_path", "label"], "left_semi")
+    j = unused.join(w, ["repo_path", "label"], "left")
+    other = F.col("path").isNotNull() & (F.col("path") != F.col("source_ref"))
+    g = j.groupBy("repo_path", "node_id", "label", "source_ref").agg(F.count_if(other & ~F.col("doc")).alias("code"), F.count_if(other & F.col("doc")).alias("docs"))
+    return g.select("repo_path", "node_id", "label", "source_ref", F.when((F.col("code") == 0) & (F.col("docs") == 0), "high").when(F.col("code") == 0, "medium").otherwise("low").alias("tier"))
+
+
 def mentions(sources: DataFrame, symbol: str) -> DataFrame:
     """(repo_path, path, line, bucket, access): lines that hold the symbol as a whole word."""
     pattern = r"\b" + re.escape(symbol) + r"\b"

@@ -168,7 +168,20 @@ def unused_symbols(s, d):
     return governance.unused_symbols(_nodes(s, d), _edges(s, d))
 
 
-QUERIES = {f.__name__: f for f in [node_kinds, node_degrees, god_nodes, file_fan_in, dangling_edges, edge_relations, tightest_containers, unique_import_targets, neighbour_bonus, page_rank, page_rank_converged, label_communities, paths_between, file_impact, surprising_links, missing_partners, change_risk, extracted_symbols, extracted_links, resolved_calls, unused_symbols]}
+def dead_code(s, d):
+    src = scans.current_sources(table(s, d, "sources", "repo_path", "path", "modified_at", "content"))
+    return governance.unused_tiers(governance.unused_symbols(_nodes(s, d), _edges(s, d)), src)
+
+
+def symbol_bodies(s, d):
+    """Every symbol's text by its span, as a hash and its number of lines."""
+    src = scans.current_sources(table(s, d, "sources", "repo_path", "path", "modified_at", "content")).select("repo_path", F.col("path").alias("source_ref"), X.lines(F.col("content")).alias("ls"))
+    n = _nodes(s, d).where("granularity = 'symbol' AND span_start >= 1 AND span_end >= span_start").select("repo_path", "node_id", "source_ref", "span_start", "span_end")
+    j = n.join(src, ["repo_path", "source_ref"]).withColumn("body", F.slice("ls", F.col("span_start"), F.col("span_end") - F.col("span_start") + 1))
+    return j.select("repo_path", "node_id", F.size("body").cast("long").alias("n_lines"), F.sha2(F.array_join("body", "\n"), 256).alias("body_sha"))
+
+
+QUERIES = {f.__name__: f for f in [node_kinds, node_degrees, god_nodes, file_fan_in, dangling_edges, edge_relations, tightest_containers, unique_import_targets, neighbour_bonus, page_rank, page_rank_converged, label_communities, paths_between, file_impact, surprising_links, missing_partners, change_risk, extracted_symbols, extracted_links, resolved_calls, unused_symbols, dead_code, symbol_bodies]}
 
 _N = "n AS (SELECT DISTINCT repo_path, node_id, kind, label, source_ref, granularity, signature, span_start, span_end FROM graph_nodes WHERE repo_path IS NOT NULL AND node_id IS NOT NULL)"
 _E = """e AS (SELECT * FROM (SELECT repo_path, edge_id, source, target, relation, layer, weight, source_file, row_number() OVER (PARTITION BY repo_path, edge_id
@@ -176,7 +189,7 @@ _E = """e AS (SELECT * FROM (SELECT repo_path, edge_id, source, target, relation
 _DEG = "dg AS (SELECT repo_path, node_id, count(*) AS degree FROM (SELECT repo_path, source AS node_id FROM e UNION ALL SELECT repo_path, target FROM e) GROUP BY 1, 2)"
 _FAN = """fi AS (SELECT t.repo_path, t.source_ref AS path, count(*) AS fan_in FROM e JOIN n t ON t.repo_path = e.repo_path AND t.node_id = e.target LEFT JOIN n o ON o.repo_path = e.repo_path AND o.node_id = e.source
   WHERE e.layer = 'STRUCTURAL' AND (o.source_ref IS NULL OR o.source_ref <> t.source_ref) AND EXISTS (SELECT 1 FROM n f WHERE f.repo_path = t.repo_path AND f.kind = 'file' AND f.node_id NOT LIKE 'commit:%' AND f.source_ref = t.source_ref) GROUP BY 1, 2)"""
-from loomspark.plans.repository import _BASE, _CPLX, _CUR, _FILES, _STEM  # noqa: E402
+from loomspark.plans.repository import _BASE, _CPLX, _CUR, _FILES, _LINES, _STEM, _SUF  # noqa: E402
 
 _CO = """okc AS (SELECT repo_path, sha FROM f GROUP BY 1, 2 HAVING count(*) <= 50), g AS (SELECT f.* FROM f JOIN okc USING (repo_path, sha)),
 p0 AS (SELECT x.repo_path, x.path a, y.path b, count(*) n FROM g x JOIN g y ON x.repo_path = y.repo_path AND x.sha = y.sha AND x.path < y.path GROUP BY 1, 2, 3),
@@ -247,4 +260,10 @@ SELECT e.repo_path, e.edge_id, e.source, u.target_id FROM e JOIN u ON u.repo_pat
     "unused_symbols": f"""WITH {_N}, {_E}, cr AS (SELECT DISTINCT repo_path, target FROM e WHERE relation IN ('calls','imports','inherits','references','reads','writes','aliases','exports'))
 SELECT repo_path, node_id, label, source_ref FROM n WHERE granularity = 'symbol' AND kind IN ('func', 'class') AND NOT {_TP('source_ref')} AND label NOT IN ('main', '__main__') AND lower(split_part(source_ref, '/', -1)) <> '__main__.py' AND NOT (starts_with(label, '__') AND ends_with(label, '__'))
 AND NOT EXISTS (SELECT 1 FROM cr WHERE cr.repo_path = n.repo_path AND cr.target = n.node_id) AND NOT EXISTS (SELECT 1 FROM cr WHERE cr.repo_path = n.repo_path AND cr.target = 'name:' || n.label)""",
+    "symbol_bodies": f"""WITH {_CUR}, {_N}, l AS (SELECT repo_path, path, {_LINES} AS ls FROM cur), b AS (SELECT n.repo_path, n.node_id, list_slice(l.ls, n.span_start, n.span_end) AS body FROM n JOIN l ON l.repo_path = n.repo_path AND l.path = n.source_ref
+WHERE granularity = 'symbol' AND span_start >= 1 AND span_end >= span_start) SELECT repo_path, node_id, len(body) AS n_lines, sha256(array_to_string(body, chr(10))) AS body_sha FROM b""",
 }
+ORACLE["dead_code"] = f"""WITH {_CUR}, u AS ({ORACLE["unused_symbols"]}), w AS (SELECT repo_path, path, lower({_SUF}) IN ('.md', '.txt', '.rst') AS doc, unnest(list_distinct(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*'))) AS label FROM cur),
+g AS (SELECT u.repo_path, u.node_id, u.label, u.source_ref, count(CASE WHEN w.path <> u.source_ref AND NOT w.doc THEN 1 END) AS code, count(CASE WHEN w.path <> u.source_ref AND w.doc THEN 1 END) AS docs
+FROM u LEFT JOIN w ON w.repo_path = u.repo_path AND w.label = u.label GROUP BY 1, 2, 3, 4)
+SELECT repo_path, node_id, label, source_ref, CASE WHEN code = 0 AND docs = 0 THEN 'high' WHEN code = 0 THEN 'medium' ELSE 'low' END AS tier FROM g"""

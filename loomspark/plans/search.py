@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from loomspark.functions import text as X
 from loomspark.operators import governance, graphs, history, retrieval, scans
 from loomspark.plans.graph import _DEG, _E, _N, _edges, _nodes
 from loomspark.plans.repository import _CUR, _LINES, _STEM, _SUF, _sources
-from loomspark.session import materialize, table
+from loomspark.session import materialize, shared_dir, table
+from loomspark.streaming import ledger
 
 TASK = "Where does the scanner mask a stale lease of the ledger?"
 WORDS = "stale lease ledger"
@@ -122,6 +125,15 @@ def usage_ledger(s, d):
     return governance.usage_rollup(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", "base")
 
 
+def usage_stream(s, d):
+    """The daily rollup as a stream over what is there, run to its end."""
+    at = f"{shared_dir(s)}/streams/{uuid.uuid4().hex}"
+    events = ledger.read_events(s, f"{d}/events.parque[t]", table(s, d, "events").schema)
+    q = ledger.daily_usage(events).writeStream.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out"))
+    q.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{at}/out").withColumn("tokens", F.round("tokens", 4))
+
+
 def embedding_scan(s, d):
     e = table(s, d, "chunk_embeddings", "repo_path", "node_id", "source_path", "model_version", "created_at")
     c = scans.latest(e, ["repo_path", "node_id", "model_version"], ["created_at"])
@@ -138,7 +150,7 @@ def retrieval_quality(s, d):
     return m.select("task", *[F.round(c, 6).alias(c) for c in ("precision", "p_at_3", "recall")])
 
 
-QUERIES = {f.__name__: f for f in [identifier_terms, task_idf, keyword_search, text_search, text_postings, first_hit_lines, fused_ranking, symbol_search, references, vector_search, packed_context, context_bundle, usage_ledger, embedding_scan, retrieval_quality]}
+QUERIES = {f.__name__: f for f in [identifier_terms, task_idf, keyword_search, text_search, text_postings, first_hit_lines, fused_ranking, symbol_search, references, vector_search, packed_context, context_bundle, usage_ledger, usage_stream, embedding_scan, retrieval_quality]}
 
 
 def _tok(c: str) -> str:
@@ -191,6 +203,7 @@ OR regexp_matches(t, '\\bdel\\s+\\bLIMIT\\b') OR regexp_matches(t, '\\bLIMIT\\b\
 SELECT qid, id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 10""",
     "usage_ledger": """SELECT day, tool, count(*) AS calls, round(sum(value), 4) AS response, round(sum(value * 3), 4) AS baseline, round(sum(value * 3) - sum(value), 4) AS saved, CASE WHEN sum(value * 3) > 0 THEN round(100.0 * (sum(value * 3) - sum(value)) / sum(value * 3), 1) ELSE 0.0 END AS saved_pct
 FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS tool, value FROM events) GROUP BY GROUPING SETS ((), (day), (tool))""",
+    "usage_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS tool, count(*) AS calls, round(sum(value), 4) AS tokens FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
     "embedding_scan": "WITH c AS (SELECT repo_path, node_id, model_version, arg_max(source_path, created_at) source_path FROM chunk_embeddings WHERE repo_path IS NOT NULL AND node_id IS NOT NULL AND model_version IS NOT NULL GROUP BY 1, 2, 3) SELECT repo_path, model_version, count(*) AS n_chunks, count(DISTINCT source_path) AS n_files FROM c GROUP BY 1, 2",
     "retrieval_quality": f"""WITH {_CUR}, {_SETS}, {_KW}, {_FILES2}, k AS (SELECT repo_path, path, rank FROM ks WHERE rank <= 10), x AS (SELECT repo_path, path, 1 AS wanted FROM chn WHERE pos <= 100),
 j AS (SELECT coalesce(k.repo_path, x.repo_path) AS task, k.rank, x.wanted FROM k FULL JOIN x ON x.repo_path = k.repo_path AND x.path = k.path),
