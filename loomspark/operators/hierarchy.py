@@ -278,9 +278,31 @@ def hierarchy(edges: DataFrame, group: str = "repo_path", parent: str = "source"
 def descendants(tree: DataFrame) -> DataFrame:
     """(g, node, descendant, distance) of a ``hierarchy`` result with paths; nodes without a place have none.
 
-    With several paths to one (root, depth) the smallest path stands, so an ancestor that lies only
-    on another path of equal length is not listed.
+    Whole only where every node has one parent: with several paths to one (root, depth) the smallest
+    path stands. ``closure`` lists every descendant of any links.
     """
     at = F.posexplode("path").alias("_i", "anc")
     rows = tree.where("path IS NOT NULL").select("g", F.col("node").alias("descendant"), F.size("path").alias("_n"), at)
     return rows.where("anc <> descendant").select("g", F.col("anc").alias("node"), "descendant", (F.col("_n") - 1 - F.col("_i")).cast("int").alias("distance")).distinct()
+
+
+def closure(edges: DataFrame, group: str = "repo_path", parent: str = "source", child: str = "target") -> DataFrame:
+    """(g, node, descendant, distance) of every path between two nodes, each distance once.
+
+    Read off the links themselves, so all ways through nodes with several parents count; nodes
+    without a place are nobody's descendants and have none. Distances double with every round.
+    """
+    e = edges.select(F.col(group).cast("string").alias("g"), F.col(parent).cast("string").alias("node"), F.col(child).cast("string").alias("descendant"))
+    e = e.where("g IS NOT NULL AND node IS NOT NULL AND descendant IS NOT NULL").distinct()
+    lost = hierarchy(edges, group, parent, child, paths=False).where("depth = -1").select("g", F.col("node").alias("descendant"))
+    # a child with a place has only parents with a place, so what is left has no loops
+    new = materialize(e.join(lost, ["g", "descendant"], "left_anti").select("g", "node", "descendant", F.lit(1).alias("distance")))
+    out, reach = new, 1
+    while True:
+        # paths of up to 2 x reach: one of up to reach, then one of exactly reach
+        far = new.where(F.col("distance") == reach).select("g", F.col("node").alias("_m"), F.col("descendant").alias("_d"))
+        near = out.withColumnRenamed("descendant", "_m")
+        new = materialize(near.join(far, ["g", "_m"]).select("g", "node", F.col("_d").alias("descendant"), (F.col("distance") + reach).alias("distance")).distinct())
+        if new.isEmpty():
+            return out
+        out, reach = out.unionByName(new), 2 * reach

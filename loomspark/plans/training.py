@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.operators.hierarchy import hierarchy
+from loomspark.operators.hierarchy import closure, hierarchy
 from loomspark.operators.incremental import due_files
 from loomspark.session import table
 
@@ -29,7 +29,13 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy(links).select(F.col("g").alias("repo_path"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("long").alias("depth"), F.coalesce(F.array_join("path", " > "), F.lit("")).alias("full_path"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_paths": p6_paths}
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every node's descendants with their distances."""
+    links = table(spark, d, "graph_edges", "repo_path", "source", "target", "relation").where("relation = 'contains'")
+    return closure(links).select(F.col("g").alias("repo_path"), F.col("node").alias("node_id"), F.col("descendant").alias("descendant_id"), "distance")
+
+
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants}
 
 _P6 = """
 WITH RECURSIVE e AS (SELECT DISTINCT repo_path g, source s, target t FROM graph_edges
