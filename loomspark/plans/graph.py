@@ -23,8 +23,8 @@ def _commits(s: SparkSession, d: str) -> DataFrame:
 
 
 def _file_links(s: SparkSession, d: str) -> DataFrame:
-    """Structural edges and co-change edges of at least two commits, as one layered edge set."""
-    co = history.cochange(_commits(s, d)).where("n >= 2").select("repo_path", F.concat(F.lit("file:"), "a").alias("source"), F.concat(F.lit("file:"), "b").alias("target"), F.lit("cochange").alias("relation"), F.lit("COCHANGE").alias("layer"), "weight")
+    """Structural edges and all co-change edges as one layered edge set."""
+    co = history.cochange(_commits(s, d)).select("repo_path", F.concat(F.lit("file:"), "a").alias("source"), F.concat(F.lit("file:"), "b").alias("target"), F.lit("cochange").alias("relation"), F.lit("COCHANGE").alias("layer"), "weight")
     return _edges(s, d).select("repo_path", "source", "target", "relation", "layer", "weight").unionByName(co)
 
 
@@ -115,7 +115,7 @@ def surprising_links(s, d):
     """Strong co-change between folders, leaving out a source and its test."""
     from pyspark.sql import Window
 
-    c = history.cochange(_commits(s, d)).where("n >= 2")
+    c = history.cochange(_commits(s, d))
     folder = lambda p: F.substring_index(p, "/", 2)
     pair = (X.is_test_path(F.col("a")) != X.is_test_path(F.col("b"))) & (X.test_base(F.col("a")) == X.test_base(F.col("b")))
     c = c.where((folder("a") != folder("b")) & ~pair)

@@ -97,7 +97,7 @@ def file_churn(s, d):
 
 
 def cochange_edges(s, d):
-    return history.cochange(_commits(s, d)).where("n >= 2").select("repo_path", "a", "b", "n", F.round("weight", 6).alias("weight"))
+    return history.cochange(_commits(s, d)).select("repo_path", "a", "b", "n", F.round("weight", 6).alias("weight"))
 
 
 def commit_touches(s, d):
