@@ -55,9 +55,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_odds(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs at least six commits change together, with counts, lift and odds ratio."""
+    """All pairs that change together, with counts, lift and odds ratio."""
     commits = table(spark, d, "commits", "repo_path", "sha", "files_json")
-    p = together(commits, max_items=50, min_count=6)
+    p = together(commits, max_items=50)
     return p.select(F.col("g").alias("repo_path"), F.col("a").alias("path_a"), F.col("b").alias("path_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("odds_ratio", 6).alias("odds_ratio"))
 
 
