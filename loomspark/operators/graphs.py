@@ -9,12 +9,16 @@ count once; graphs without edges give the nodes' base values; empty tables give
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators.scans import latest
 from loomspark.session import materialize
 
+#: Nodes and links of one repository that one task may rank; beyond it the rounds are distributed.
+SMALL = 400_000
 # How much an edge of each layer carries.
 LAYER_WEIGHT = {"STRUCTURAL": 3.0, "COCHANGE": 2.0, "HEADING": 1.5, "SEMANTIC": 0.5}
 
@@ -59,12 +63,32 @@ def _transitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.join(out, ["repo_path", "s"]).select("repo_path", "s", "t", (F.col("w") / F.col("total")).alias("p"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, test_every: int = 5) -> DataFrame:
+def _rank_task(damping: float, rounds: int, tolerance: float | None):
+    """A cogrouped function that ranks one repository, testing convergence after every round."""
+
+    def run(key, base: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        base, links = base.sort_values("node_id"), links.sort_values(["s", "t"])
+        index = pd.Index(base["node_id"])
+        s, t = index.get_indexer(links["s"]), index.get_indexer(links["t"])
+        p, v, lone = links["p"].to_numpy(float), base["v"].to_numpy(float), ~base["linked"].to_numpy(bool)
+        r = v
+        for _ in range(rounds):
+            old = r
+            r = (1 - damping) * v + damping * (np.bincount(t, old[s] * p, len(v)) + old[lone].sum() * v)
+            if tolerance is not None and np.abs(r - old).sum() < tolerance:
+                break
+        return pd.DataFrame({"repo_path": base["repo_path"], "node_id": base["node_id"], "rank": r / r.sum()})
+
+    return run
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, test_every: int = 5, small: int = SMALL) -> DataFrame:
     """Personalised PageRank per repository: (repo_path, node_id, rank).
 
     ``seeds`` has repo_path, node_id, weight; a repository without a positive seed starts uniform.
-    The mass of nodes without links goes to the seeds. Links are normalised and kept once, each
-    round is a table in the shared folder, and convergence is tested every few rounds.
+    The mass of nodes without links goes to the seeds. Links are normalised and kept once. A
+    repository of at most ``small`` nodes and links is ranked in one task; of larger ones each round
+    is a table in the shared folder, and convergence is tested every few rounds.
     ``tolerance`` None runs all rounds.
     """
     ok = nodes.where("kind <> 'commit' AND node_id NOT LIKE 'commit:%'").select("repo_path", "node_id").distinct()
@@ -78,6 +102,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     base = base.join(sums, "repo_path").select("repo_path", "node_id", F.when(F.col("st") > 0, F.coalesce("sw", F.lit(0.0)) / F.col("st")).otherwise(1.0 / F.col("nn")).alias("v"))
     sinks = links.select("repo_path", F.col("s").alias("node_id")).distinct().withColumn("linked", F.lit(True))
     base = materialize(base.join(sinks, ["repo_path", "node_id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))))
+    sizes = base.select("repo_path").unionByName(links.select("repo_path")).groupBy("repo_path").count()
+    big = materialize(sizes.where(F.col("count") > small).select("repo_path"))
+    little = base.join(big, "repo_path", "left_anti").groupBy("repo_path").cogroup(links.join(big, "repo_path", "left_anti").groupBy("repo_path"))
+    done = little.applyInPandas(_rank_task(damping, rounds, tolerance), "repo_path string, node_id string, rank double")
+    if big.isEmpty():
+        return done
+    base, links = base.join(big, "repo_path", "left_semi"), links.join(big, "repo_path", "left_semi")
     rank = base.withColumn("r", F.col("v"))
     for i in range(1, rounds + 1):
         lost = rank.groupBy("repo_path").agg(F.sum(F.when(~F.col("linked"), F.col("r")).otherwise(0.0)).alias("lost"))
@@ -91,7 +122,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
             if worst is None or worst < tolerance:
                 break
     total = rank.groupBy("repo_path").agg(F.sum("r").alias("rt"))
-    return rank.join(total, "repo_path").select("repo_path", "node_id", (F.col("r") / F.col("rt")).alias("rank"))
+    return done.unionByName(rank.join(total, "repo_path").select("repo_path", "node_id", (F.col("r") / F.col("rt")).alias("rank")))
 
 
 def proximity(edges: DataFrame, seeds: DataFrame, first: float = 5.0, second: float = 2.0) -> DataFrame:

@@ -77,16 +77,16 @@ def neighbour_bonus(s, d):
 
 
 def page_rank(s, d):
-    """Three rounds seeded with the scanner's nodes."""
+    """Converged ranks seeded with the scanner's nodes."""
     n = materialize(_nodes(s, d))
     seeds = n.where("source_ref LIKE '%scanner%'").select("repo_path", "node_id", F.lit(1.0).alias("weight"))
-    r = graphs.pagerank(n, _edges(s, d), seeds, rounds=3, tolerance=None)
+    r = graphs.pagerank(n, materialize(_edges(s, d)), seeds)
     return r.select("repo_path", "node_id", F.round("rank", 9).alias("rank"))
 
 
 def page_rank_converged(s, d):
     n = _nodes(s, d)
-    return graphs.pagerank(materialize(n), materialize(_edges(s, d)), rounds=60).select("repo_path", "node_id", F.round("rank", 6).alias("rank"))
+    return graphs.pagerank(materialize(n), materialize(_edges(s, d))).select("repo_path", "node_id", F.round("rank", 6).alias("rank"))
 
 
 def label_communities(s, d):
