@@ -98,25 +98,31 @@ def packed_context(s, d):
     return retrieval.pack(items).select(F.col("group").alias("repo_path"), F.col("id").alias("path"), "tokens", "taken")
 
 
-def context_bundle(s, d):
-    """The flagship retrieval: keyword scores, fused lists and personalised rank, packed into a budget.
-
-    final = keyword score + 40 x fused score + 10 x rank, for files of every repository.
-    """
+def _bundle_scores(s, d):
+    """(repo_path, path, seed, rank, score, tokens) of every file: seed = keyword score + 40 x fused
+    score, score = seed + 10 x rank; all files with a positive seed are seeds of the rank."""
     cur = materialize(_sources(s, d))
     k = materialize(retrieval.keyword_scores(cur, TASK))
     w = Window.partitionBy("repo_path").orderBy(F.desc("score"), "path")
-    first = k.withColumn("pos", F.row_number().over(w)).where("pos <= 50")
+    hits = k.where("score > 0").withColumn("pos", F.row_number().over(w))
     named = cur.where(F.arrays_overlap(X.term_set(X.stem(F.col("path"))), F.array(*[F.lit(t) for t in retrieval.query_terms(s, TASK)])))
     wn = Window.partitionBy("repo_path").orderBy("path")
-    lists = first.select(F.col("repo_path").alias("group"), F.lit("keyword").alias("list_id"), F.col("path").alias("id"), "pos").unionByName(named.select(F.col("repo_path").alias("group"), F.lit("name").alias("list_id"), F.col("path").alias("id"), F.row_number().over(wn).alias("pos")))
+    lists = hits.select(F.col("repo_path").alias("group"), F.lit("keyword").alias("list_id"), F.col("path").alias("id"), "pos").unionByName(named.select(F.col("repo_path").alias("group"), F.lit("name").alias("list_id"), F.col("path").alias("id"), F.row_number().over(wn).alias("pos")))
     fused = retrieval.rrf(lists).select(F.col("group").alias("repo_path"), F.col("id").alias("path"), F.col("score").alias("fused"))
-    seeds = first.where("score > 0").select("repo_path", F.concat(F.lit("file:"), "path").alias("node_id"), F.col("score").alias("weight"))
-    rank = graphs.pagerank(materialize(_nodes(s, d)), materialize(_edges(s, d)), seeds, rounds=8, tolerance=None).select("repo_path", F.expr("substring(node_id, 6)").alias("path"), "rank")
+    seeded = materialize(k.join(fused, ["repo_path", "path"], "left").select("repo_path", "path", (F.col("score") + 40 * F.coalesce("fused", F.lit(0.0))).alias("seed")))
+    seeds = seeded.where("seed > 0").select("repo_path", F.concat(F.lit("file:"), "path").alias("node_id"), F.col("seed").alias("weight"))
+    rank = graphs.pagerank(materialize(_nodes(s, d)), materialize(_edges(s, d)), seeds).select("repo_path", F.expr("substring(node_id, 6)").alias("path"), "rank")
     t = cur.select("repo_path", "path", X.token_estimate(F.col("content"), X.classify_path(F.col("path"))).alias("tokens"))
-    final = k.join(fused, ["repo_path", "path"], "left").join(rank, ["repo_path", "path"], "left").join(t, ["repo_path", "path"])
-    score = F.col("score") + 40 * F.coalesce("fused", F.lit(0.0)) + 10 * F.coalesce("rank", F.lit(0.0))
-    packed = retrieval.pack(final.select(F.col("repo_path").alias("group"), F.col("path").alias("id"), score.alias("score"), "tokens"))
+    final = seeded.join(rank, ["repo_path", "path"], "left").join(t, ["repo_path", "path"])
+    return final.withColumn("score", F.col("seed") + 10 * F.coalesce("rank", F.lit(0.0)))
+
+
+def context_bundle(s, d):
+    """The flagship retrieval: keyword scores, fused lists and converged personalised rank, packed into a budget.
+
+    final = keyword score + 40 x fused score + 10 x rank, for files of every repository.
+    """
+    packed = retrieval.pack(_bundle_scores(s, d).select(F.col("repo_path").alias("group"), F.col("path").alias("id"), "score", "tokens"))
     return packed.select(F.col("group").alias("repo_path"), F.col("id").alias("path"), "tokens", "taken")
 
 
