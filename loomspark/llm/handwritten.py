@@ -7,8 +7,8 @@ language). A file is then judged by evidence of four kinds:
 * mangled names: high cross-entropy of its identifiers, which are short, on long lines: minified;
 * template-like names: few name patterns with a running number cover most names: generated;
 * literals instead of names: values make up nearly all tokens: data saved as code;
-* foreign names: the file's own name is foreign to the words of the repository's paths under a
-  model of path words, and its place or its header says it comes from elsewhere: vendored.
+* place or header: a folder for code of others, or a header that says the file comes from elsewhere:
+  vendored. How foreign the file's name is to a model of path words is reported and decides nothing.
 
 Headers are read only from comments, only where the comment itself makes the statement (not where
 it quotes or discusses one), and not where it names the repository itself.
