@@ -122,13 +122,20 @@ def longest_passage(item: list, doc: list, seeds: list[tuple[int, int]]) -> int:
             seen.add((e, f))
             e, f = e + 1, f + 1
         runs.append((a, b, e - a))
-    # single and double words between two alterations are runs as well
+    # runs shorter than a k-gram, beside an alteration or between two
     by_diag: dict[int, list] = {}
     for a, b, n in runs:
         by_diag.setdefault(b - a, []).append((a, a + n))
     more = []
+    near: dict[int, list] = {}
     for diag, spans in by_diag.items():
         lo, hi = min(s for s, _ in spans) - 2 * ONE_IN, max(e for _, e in spans) + 2 * ONE_IN
+        # a word put in or left out moves the passage to another diagonal, at most one an alteration
+        most = (hi - lo) // ONE_IN
+        for shifted in range(diag - most, diag + most + 1):
+            near.setdefault(shifted, []).append((lo, hi))
+    for diag, spans in near.items():
+        lo, hi = min(s for s, _ in spans), max(e for _, e in spans)
         i = max(lo, 0, -diag)
         hi = min(hi, len(item), len(doc) - diag)
         while i < hi:
