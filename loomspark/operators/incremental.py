@@ -1,8 +1,8 @@
 """Processing only new or changed records.
 
-Both sides, what is there now and what earlier runs recorded, are brought to one row per record and
-summed up per partition into a fingerprint: the row count and additive hashes. Equal fingerprints
-rule a partition out; rows are compared only in the others. ``IncrementalTable`` applies the same
+Both sides, what is there now and what earlier runs recorded, are brought to one row per record,
+written, and summed up per partition into a fingerprint: the row count and additive hashes. Equal
+fingerprints rule a partition out; rows are read again and compared only in the others. ``IncrementalTable`` applies the same
 plan to a stored result and replaces each changed partition atomically.
 
 Defined results: null paths or repositories are skipped; a null content has no provable hash, so
@@ -13,11 +13,11 @@ current file due, empty sources make none due.
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.session import materialize
+
 BUCKETS = 1024
 
 
@@ -60,45 +60,59 @@ def _logged(runs: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def compare_states(sources: DataFrame, runs: DataFrame, log: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row per file: its current hash, its last recorded operation and hash, and whether its
-    partition's fingerprints differ. One shuffle by (repository, bucket) serves the reduction to one
-    row per file and the fingerprints alike; a hot repository is spread over all its buckets.
+def _keyed(df: DataFrame, buckets: int) -> DataFrame:
+    return df.where(F.col("_r").isNotNull() & F.col("_p").isNotNull()).withColumn("_b", bucket(F.col("_p"), buckets))
+
+
+def current_states(sources: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(_r, _b, _p, _h): the hash of every file's current content; a hot repository lies in all its buckets."""
+    files = _keyed(_current(sources), buckets).groupBy("_r", "_b", "_p").agg(F.max("_now").alias("_x"))
+    return files.select("_r", "_b", "_p", F.col("_x.h").alias("_h"))
+
+
+def logged_states(runs: DataFrame, log: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(_r, _b, _p, _h): the hash every file was last recorded with by a successful run; deleted files have no row."""
+    files = _keyed(_logged(runs, log), buckets).groupBy("_r", "_b", "_p").agg(F.max("_log").alias("_x"))
+    return files.where(F.coalesce(F.col("_x.op"), F.lit("")) != "delete").select("_r", "_b", "_p", F.col("_x.h").alias("_h"))
+
+
+def partition_fingerprints(states: DataFrame) -> DataFrame:
+    """(_r, _b, f0 .. f3, open): a partition's count and additive hashes; ``open`` where a hash is missing,
+    which no fingerprint can vouch for."""
+    sums = fingerprint_columns(F.lit(True), F.col("_p"), F.col("_h"))
+    return states.groupBy("_r", "_b").agg(*[x.alias(f"f{i}") for i, x in enumerate(sums)], F.max(F.col("_h").isNull()).alias("open"))
+
+
+def changed_partitions(now: DataFrame, then: DataFrame) -> DataFrame:
+    """(_r, _b) of the partitions there are now whose fingerprints are new, different or open."""
+    n, t = now.alias("n"), then.alias("t")
+    j = n.join(t, (F.col("n._r") == F.col("t._r")) & (F.col("n._b") == F.col("t._b")), "left")
+    differs = F.col("n.open") | F.col("t.f0").isNull()
+    for i in range(4):
+        differs = differs | ~F.col(f"n.f{i}").eqNullSafe(F.col(f"t.f{i}"))
+    return j.where(differs).select(F.col("n._r").alias("_r"), F.col("n._b").alias("_b"))
+
+
+def due_files(sources: DataFrame, runs: DataFrame, log: DataFrame, buckets: int = BUCKETS, recorded: DataFrame | None = None) -> DataFrame:
+    """Files the next run has to process: current files that are unrecorded, were last recorded as
+    deleted, or whose recorded hash is not the hash of the content.
+
+    The states of both sides are written once. Their fingerprints are compared first; rows are
+    looked at only in partitions that differ. ``recorded`` are ``partition_fingerprints`` an
+    earlier call stored for the log side; then the log is read for changed partitions only.
     """
-    now, then = _current(sources), _logged(runs, log)
-    none_log, none_now = F.lit(None).cast(then.schema["_log"].dataType), F.lit(None).cast(now.schema["_now"].dataType)
-    both = now.withColumn("_log", none_log).unionByName(then.withColumn("_now", none_now))
-    both = both.where(F.col("_r").isNotNull() & F.col("_p").isNotNull()).withColumn("_b", bucket(F.col("_p"), buckets))
-    files = both.repartition("_r", "_b").groupBy("_r", "_b", "_p").agg(F.max("_now").alias("_now"), F.max("_log").alias("_log"))
-    live = F.col("_now").isNotNull()
-    known = F.col("_log").isNotNull() & (F.coalesce(F.col("_log.op"), F.lit("")) != "delete")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("_r", "_b")
-    marks = [F.col("_now.h").isNull() & live]
-    sums_now = fingerprint_columns(live, F.col("_p"), F.col("_now.h"))
-    sums_log = fingerprint_columns(known, F.col("_p"), F.col("_log.h"))
-    differs = F.max(marks[0].cast("int")).over(w) == 1
-    for a, b in zip(sums_now, sums_log):
-        differs = differs | (a.over(w) != b.over(w))
-    return files.select(
-        F.col("_r").alias("repo_path"),
-        F.col("_b").alias("bucket"),
-        F.col("_p").alias("path"),
-        live.alias("is_current"),
-        F.col("_now.h").alias("current_hash"),
-        F.col("_log.op").alias("logged_op"),
-        F.col("_log.h").alias("logged_hash"),
-        differs.alias("partition_changed"),
-    )
+    now = materialize(current_states(sources, buckets))
+    then = logged_states(runs, log, buckets)
+    if recorded is None:
+        then = materialize(then)
+        recorded = partition_fingerprints(then)
+    todo = materialize(changed_partitions(partition_fingerprints(now), recorded))
+    seen = then.join(todo, ["_r", "_b"], "left_semi").where("_h IS NOT NULL").select("_r", "_b", "_p", "_h")
+    return now.join(todo, ["_r", "_b"], "left_semi").join(seen, ["_r", "_b", "_p", "_h"], "left_anti").select(F.col("_r").alias("repo_path"), F.col("_p").alias("path"))
 
 
-def due_files(sources: DataFrame, runs: DataFrame, log: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Files the next run has to process: current files of changed partitions that are unrecorded,
-    were last recorded as deleted, or whose recorded hash is not the hash of the content."""
-    rows = compare_states(sources, runs, log, buckets).where("is_current AND partition_changed")
-    same = (F.coalesce(F.col("logged_op"), F.lit("delete")) != "delete") & F.col("logged_hash").eqNullSafe(F.col("current_hash")) & F.col("current_hash").isNotNull()
-    return rows.where(~same).select("repo_path", "path")
+class KeyChanged(ValueError):
+    """A computation moved a record out of the partitions that are recomputed."""
 
 
 class IncrementalTable:
@@ -106,10 +120,20 @@ class IncrementalTable:
 
     ``refresh`` fingerprints the input per partition, compares with the fingerprints the last
     successful run stored, recomputes only changed partitions and replaces them by dynamic
-    partition overwrite. The fingerprints are written after the data: a run that dies in between
-    leaves the old ones, so the next run repeats exactly the unfinished partitions, and because a
-    partition is replaced as a whole nothing is skipped or doubled. Partitions that have vanished
-    from the input are replaced by nothing (their folder is emptied through a tombstone row set).
+    partition overwrite. What holds at each step:
+
+    * the fingerprints are written first, as a draft, and exactly these are published last: a
+      record that arrives in between is not in them, so the next run finds its partition changed;
+    * a run that dies anywhere before the publication leaves the old fingerprints, so the next run
+      repeats exactly the unfinished partitions, and as a partition is replaced as a whole nothing
+      is skipped or doubled;
+    * changed partitions for which nothing was written (their records are gone, or ``compute``
+      yields none) are removed;
+    * ``compute`` must keep the key columns: a row that falls outside the recomputed partitions
+      stops the write before anything is replaced.
+
+    Null keys make a key like any other; null contents count in the fingerprint; an empty input
+    empties the table; a table never filled reads as no rows once a refresh has run.
     """
 
     def __init__(self, spark: SparkSession, location: str, key: list[str], content: list[str], buckets: int = 64):
@@ -120,60 +144,74 @@ class IncrementalTable:
         path = jvm.org.apache.hadoop.fs.Path(self.location)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _exists(self, name: str) -> bool:
-        fs, path = self._fs()
-        return fs.exists(path(f"{self.location}/{name}"))
-
-    def _version(self) -> str | None:
-        """Name of the last complete set of fingerprints."""
+    def _versions(self) -> list[str]:
+        """Names of the published sets of fingerprints, oldest first."""
         fs, path = self._fs()
         at = path(f"{self.location}/fingerprints")
-        if not fs.exists(at):
-            return None
-        done = sorted(s.getPath().getName() for s in fs.listStatus(at) if fs.exists(path(f"{self.location}/fingerprints/{s.getPath().getName()}/_SUCCESS")))
-        return done[-1] if done else None
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(c) for c in self.key]), F.lit(self.buckets)).cast("int")
 
     def fingerprints(self, df: DataFrame) -> DataFrame:
-        keys = [F.col(c) for c in self.key]
-        sums = fingerprint_columns(F.lit(True), *keys, *[F.col(c) for c in self.content])
-        return df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int").alias("_bucket")).agg(*[s.alias(f"f{i}") for i, s in enumerate(sums)])
+        sums = fingerprint_columns(F.lit(True), *[F.col(c) for c in [*self.key, *self.content]])
+        # null positions are hashed beside the values, which xxhash64 alone would skip
+        nulls = F.sum(F.xxhash64(F.concat_ws(",", *[F.col(c).isNull().cast("int") for c in [*self.key, *self.content]]), *[F.col(c) for c in [*self.key, *self.content]]).bitwiseAND(F.lit(0xFFFFFFFF)))
+        return df.groupBy(self._bucket().alias("_bucket")).agg(*[s.alias(f"f{i}") for i, s in enumerate([*sums, nulls])])
 
-    def changed(self, df: DataFrame) -> list[int]:
+    def changed(self, now: DataFrame) -> list[int]:
         """Buckets whose fingerprint is new, different or gone; at most ``buckets`` numbers reach the driver."""
-        now, last = self.fingerprints(df), self._version()
-        if last is None:
+        published = self._versions()
+        if not published:
             return sorted(r[0] for r in now.select("_bucket").collect())
-        old = self.spark.read.parquet(f"{self.location}/fingerprints/{last}")
-        return sorted(
-            r[0]
-            for r in now.alias("n")
-            .join(old.alias("o"), "_bucket", "full_outer")
-            .where(" OR ".join(f"NOT (n.f{i} <=> o.f{i})" for i in range(4)))
-            .select("_bucket")
-            .collect()
-        )
-
-    def refresh(self, df: DataFrame, compute, fail_before_commit: bool = False) -> list[int]:
-        """Bring the stored result up to date; returns the recomputed buckets."""
-        todo = self.changed(df)
+        old = self.spark.read.schema(now.schema).parquet(f"{self.location}/fingerprints/{published[-1]}")
+        both = now.alias("n").join(old.alias("o"), "_bucket", "full_outer")
+        return sorted(r[0] for r in both.where(" OR ".join(f"NOT (n.f{i} <=> o.f{i})" for i in range(5))).select("_bucket").collect())
+
+    def refresh(self, df: DataFrame, compute, stop_after: str | None = None) -> list[int]:
+        """Bring the stored result up to date; returns the recomputed buckets.
+
+        ``stop_after`` ('draft', 'data' or 'removal') breaks the run off at that step, for tests.
+        """
+        fs, path = self._fs()
+        published = self._versions()
+        draft, final = f"{self.location}/draft", f"{self.location}/fingerprints/{int(published[-1] if published else 0) + 1:012d}"
+        prints = self.fingerprints(df)
+        prints.coalesce(1).write.mode("overwrite").parquet(draft)
+        todo = self.changed(self.spark.read.schema(prints.schema).parquet(draft))
+        self._stop(stop_after, "draft")
         if todo:
-            tagged = df.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in self.key]), F.lit(self.buckets)).cast("int"))
-            part = tagged.where(F.col("_bucket").isin(todo))
-            out = compute(part.drop("_bucket")).withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in self.key]), F.lit(self.buckets)).cast("int"))
-            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.location}/data")
-            kept = {r[0] for r in self.spark.read.parquet(f"{self.location}/data").where(F.col("_bucket").isin(todo)).select("_bucket").distinct().collect()}
-            alive = {r[0] for r in part.select("_bucket").distinct().collect()}
-            fs, path = self._fs()
-            for b in sorted(kept - alive):
+            out = compute(df.where(self._bucket().isin(todo)))
+            lost = F.raise_error(F.lit("compute moved a record out of the partitions that are recomputed")).cast("int")
+            seen = Observation()
+            out = out.withColumn("_bucket", F.when(self._bucket().isin(todo), self._bucket()).otherwise(lost))
+            if not fs.exists(path(f"{self.location}/shape")):
+                out.limit(0).write.mode("overwrite").parquet(f"{self.location}/shape")
+            try:
+                out.observe(seen, F.collect_set("_bucket").alias("b")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.location}/data")
+            except Exception as e:
+                if "compute moved a record" in str(e):
+                    raise KeyChanged(f"compute must keep {self.key}") from e
+                raise
+            self._stop(stop_after, "data")
+            for b in sorted(set(todo) - set(seen.get["b"])):
                 fs.delete(path(f"{self.location}/data/_bucket={b}"), True)
-        if fail_before_commit:
-            raise RuntimeError("stopped before the fingerprints were written")
-        number = int(self._version() or 0) + 1
-        self.fingerprints(df).coalesce(1).write.mode("overwrite").parquet(f"{self.location}/fingerprints/{number:012d}")
+        self._stop(stop_after, "removal")
+        fs.mkdirs(path(f"{self.location}/fingerprints"))
+        if not fs.rename(path(draft), path(final)):
+            raise OSError(f"fingerprints were not published: {final}")
+        for old in published[:-1]:
+            fs.delete(path(f"{self.location}/fingerprints/{old}"), True)
         return todo
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.location}/data").drop("_bucket")
+    @staticmethod
+    def _stop(asked: str | None, step: str) -> None:
+        if asked == step:
+            raise RuntimeError(f"stopped after {step}")
 
-    def describe(self) -> str:
-        return json.dumps({"location": self.location, "key": self.key, "content": self.content, "buckets": self.buckets})
+    def read(self) -> DataFrame:
+        fs, path = self._fs()
+        shape = self.spark.read.parquet(f"{self.location}/shape")
+        if not fs.exists(path(f"{self.location}/data")):
+            return shape.drop("_bucket")
+        return self.spark.read.schema(shape.schema).parquet(f"{self.location}/data").drop("_bucket")
