@@ -61,4 +61,8 @@ WHERE lg.path IS NULL OR lg.op = 'delete' OR lg.content_hash IS DISTINCT FROM c.
     "p6_found": _P6 + "SELECT DISTINCT g AS repo_path, x AS node_id, root AS root_id, depth FROM w UNION ALL SELECT g, x, '', -1 FROM bad",
     "p6_paths": _P6
     + "SELECT g AS repo_path, x AS node_id, root AS root_id, CAST(depth AS BIGINT) AS depth, min(path) AS full_path FROM w GROUP BY ALL UNION ALL SELECT g, x, '', -1, '' FROM bad",
+    "p6_descendants": _P6
+    + """, dn AS (SELECT g, s, t, 1 AS k FROM e WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.g = e.g AND b.x = e.t)
+    UNION SELECT dn.g, dn.s, e.t, dn.k + 1 FROM dn JOIN e ON e.g = dn.g AND e.s = dn.t WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.g = e.g AND b.x = e.t))
+SELECT g AS repo_path, s AS node_id, t AS descendant_id, k AS distance FROM dn""",
 }

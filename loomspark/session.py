@@ -49,3 +49,13 @@ def materialize(df: DataFrame) -> DataFrame:
     at = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files a frame reads; of a materialised table its size on disk."""
+    spark = df.sparkSession
+    total = 0
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
