@@ -113,7 +113,8 @@ def test_leaks_in_every_dress(spark):
     items = spark.createDataFrame([(1, f"{ITEM}, {STANDING}", "a")] + [(i, " ".join(f"w{i}x{j}" for j in range(40)) + f" {STANDING}", None) for i in range(2, 6)] + [(9, None, None), (None, "x", None)], "item_id long, text string, answer string")
     got = {(r.doc_id, r.item_id) for r in leak.leaked(docs, items).collect()}
     assert got == {(k, 1) for k in forms}
-    assert {(r.doc_id, r.item_id) for r in leak.leaked(docs, items, block_bytes=100).collect()} == got
+    assert {(r.doc_id, r.item_id) for r in leak.leaked(docs, items, salts=1).collect()} == got
+    assert [(r.sentence, r.n_items) for r in leak.standing_sentences(items).collect()] == [(" ".join(leak.words(STANDING)), 5)]
     assert leak.leaked(docs.limit(0), items).count() == 0 and leak.leaked(docs, items.limit(0)).count() == 0
 
 
@@ -126,10 +127,26 @@ def test_winnowing_never_misses_a_span(data):
     for i in data.draw(st.lists(st.integers(1, n - 2), max_size=n // 8, unique=True)):
         span[i] = "zz"
     doc = [f"o{i}" for i in range(data.draw(st.integers(0, 9)))] + span + [f"p{i}" for i in range(data.draw(st.integers(0, 9)))]
-    import pandas as pd
+    x, y = leak.codes(words), leak.codes(doc)
+    hx, hy = leak._grams(x), leak._grams(y)
+    assert set(hx[leak._winnow(hx)]) & set(hy[leak._winnow(hy)])
+    assert leak.measure(words, doc) >= n
+
+
+def test_passages_of_several_items_and_other_scripts(spark):
+    shared = " ".join(f"common{i}" for i in range(40)) + "."
+    cyrillic = "Покажи где обработчик теряет запись журнала после восемнадцати шагов и назови метку которую он переименует первой"
+    dense = "请说明处理程序在十八个步骤之后丢失了哪一条日志记录"
+    tag = "<img data='" + "a " * 400 + "'>"
+    items = spark.createDataFrame([(i, f"{shared} Question {'abc'[i]}?") for i in range(3)] + [(5, cyrillic), (6, dense)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {shared} y"), (2, cyrillic.upper()), (3, dense), (4, shared.replace("common7 ", f"common7 {tag} ")), (5, "common0 " * 3000)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leak.leaked(docs, items).collect()}
+    assert got == {(1, 0), (1, 1), (1, 2), (2, 5), (3, 6), (4, 0), (4, 1), (4, 2)}
+
 
-    out = list(leak._probe([(7, words)])(iter([pd.DataFrame({"doc_id": [1], "text": [" ".join(doc)]})])))[0]
-    assert out["item_id"].tolist() == [7] and out["n_words"].iat[0] >= n
+def test_repeated_words_stay_cheap():
+    assert leak.measure(["a"] * 60, ["a"] * 3000) == 60
+    assert leak.measure([*"abcdefgh", "w", "w", "w", "w", "w"], ["w"] * 3000) == 0
 
 
 DOC = "doc_id long, text string, lang string, source string"
