@@ -27,14 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.session import materialize, table_bytes
+from loomspark.session import materialize, sent
 
 #: Links of one key in one task; a hotter key is spread by the child's hash.
 HOT = 200_000
 #: Links of one group that one task may settle after the last level; more are settled in rounds.
 SMALL = 400_000
-#: Bytes of settled links that are sent to all tasks; more are joined by shuffle.
-SENT_BYTES = 8_000_000
 
 _LOCAL = T.StructType(
     [
@@ -324,9 +322,7 @@ def hierarchy(edges: DataFrame, group: str = "repo_path", parent: str = "source"
     found = materialize(_merge_small(contracted, paths) if most <= small else _merge_large(contracted))
     for local, going in reversed(levels):
         done = local.where("NOT multi AND top IS NOT NULL").join(going.select("g", "node").distinct(), ["g", "node"], "left_anti")
-        f = found.select("g", F.col("x").alias("top"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
-        if table_bytes(found) <= SENT_BYTES:
-            f = F.broadcast(f)
+        f = sent(found).select("g", F.col("x").alias("top"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
         hit, bad = F.col("_r").isNotNull(), F.col("_d") == -1
         told = done.join(f, ["g", "top"], "left").select(
             "g",

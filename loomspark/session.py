@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "loomspark") -> SparkSession:
@@ -59,3 +60,12 @@ def table_bytes(df: DataFrame) -> int:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
     return total
+
+
+#: Bytes of a materialised table that are sent to all tasks.
+SENT_BYTES = 8_000_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A materialised table marked for broadcast where its files are small enough; larger ones are shuffled."""
+    return F.broadcast(df) if table_bytes(df) <= SENT_BYTES else df
