@@ -82,15 +82,32 @@ def test_neighbour_recall(spark, block):
     assert hit / 4500 >= 0.9
     assert all(len(got[f"n{i:04d}"]) == 5 for i in range(900)) and "alone" not in got
     near = {(f"n{min(i, j):04d}", f"n{max(i, j):04d}") for i in range(900) for j in want[i] if s[i, j] >= 0.9}
-    found = {(r.a, r.b) for r in neighbours.close_pairs(v).where("g = 'r' AND v = '1'").collect()}
+    found = {(r.a, r.b) for r in neighbours.close_pairs(v, block=block).where("g = 'r' AND v = '1'").collect()}
     assert len(near & found) >= 0.99 * len(near) and not found - near
     assert neighbours.nearest(neighbours.usable(spark.createDataFrame([], VECTORS))).count() == 0
 
 
+def test_few_cells_are_probed_where_vectors_fall_into_clusters(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal((20, 64)) * 3
+    x = (centre[rng.integers(0, 20, 1500)] + rng.standard_normal((1500, 64))).astype(np.float32)
+    v = spark.createDataFrame([("r", "1", f"n{i:04d}", a.tolist()) for i, a in enumerate(x)], "g string, v string, node string, vector array<float>")
+    sizes = v.groupBy("g", "v").count().withColumnRenamed("count", "n")
+    cells = neighbours._cells(v, sizes, 200, 64)
+    p = neighbours.probed_cells(v, sizes, cells, 5, 64, -1.0).first()
+    assert cells.count() >= 10 and p.probes <= 4 and p.recall >= neighbours.RECALL
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(f"n{i:04d}", f"n{j:04d}") for i in range(1500) for j in np.argsort(-s[i])[:5]}
+    got = {(r.node, r.other) for r in neighbours.nearest(v, 5, block=200).collect()}
+    assert len(got) == 7500 and len(got & want) >= 0.9 * len(want)
+
+
 def test_scan_without_limits_is_exact():
     x = _vectors(700, 2)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    i, j, _ = neighbours.scan(x, x, True, 3, probe=1.0, slack=1e9)
+    i, j, _ = neighbours.scan(x, x, np.arange(700), 3, probe=1.0, slack=1e9)
     s = x @ x.T
     np.fill_diagonal(s, -9)
     assert {(a, b) for a, b in zip(i, j)} == {(a, b) for a in range(700) for b in np.argsort(-s[a])[:3]}
