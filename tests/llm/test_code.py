@@ -130,6 +130,20 @@ def test_evidence_of_other_hands():
     assert judge("a.py", "") == ""
 
 
+def test_models_decide_without_the_lists():
+    common = "scanner ledger frame ticket total render window channel record planner".split()
+    counts = handwritten.Counter(g for w in common for _ in range(50) for g in handwritten._trigrams(w))
+    m = {"js": handwritten.NameModel(counts), "path": handwritten.NameModel(counts)}
+    calm = sum(handwritten.strangeness(m["path"], f"{w}.js") for w in common) / len(common)
+    judge = lambda path, text: handwritten.evidence("/srv/holnor", path, text, m, (calm, 0.3))[0]
+    short = ";\n".join(f"{a}={b}({c})" for a, b, c in zip("qxzkvjwq", "zkvjwqxz", "vjwqxzkv")) + ";\n"
+    plain = ";\n".join(f"{a} = {b}({c})" for a, b, c in zip(common, common[1:], common[2:])) + ";\n"
+    assert judge("ledger.js", short) == "minified" and judge("ledger.js", plain) == ""
+    told = "// Distributed as part of the upstream package.\n" + plain
+    assert judge("src/zxqvwk.js", told) == "vendored" and judge("src/ledger.js", told) == ""
+    assert handwritten.diversity([f"row_{i:04d}" for i in range(40)])[0] < 0.1 and handwritten.diversity(common)[0] == pytest.approx(1.0)
+
+
 def test_tables_with_nulls_and_repeats(spark):
     schema = "repo_path string, path string, modified_at double, content string, g string"
     rows = [("r", "a.js", 2.0, DOCS["a.js"][0], "x"), ("r", "a.js", 2.0, DOCS["a.js"][0], "x"), ("r", "a.js", 1.0, "function (", "x"), ("r", "b.js", None, None, ""), (None, "c.js", 1.0, "x", ""), ("r", None, 1.0, "(", ""), ("r", "d.js", 1.0, "f(", ""), ("r", "e.json", 1.0, "", "")]
