@@ -3,8 +3,9 @@
 Every document gets a hash-random key. Within a source, key ranges (its upper bits) are summed up
 first; their prefix sums over at most ``RANGES`` rows a source give each range its offset, and a
 window inside each range finishes the distributed prefix sum of token counts. The source is cut
-where the prefix sum meets its budget; whole repetitions (epochs) come before the cut, so no
-document is used more than one time more often than another of its source.
+exactly where the prefix sum meets its budget, inside a document where it has to be; whole
+repetitions (epochs) come before the cut, so no document is used more than one time more often
+than another of its source.
 
 Defined results: sources are compared without case and blanks; null, zero and negative shares and
 sources without tokens take no part, and the other shares are scaled to sum to 1; null or empty
@@ -61,31 +62,43 @@ def _targets(targets: DataFrame) -> DataFrame:
     return t.where("source IS NOT NULL").groupBy("source").agg(F.max(F.struct(F.coalesce("share", F.lit(0.0)).alias("share"), "cap")).alias("x")).select("source", "x.share", "x.cap")
 
 
-def budgets(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, strict: bool = False) -> DataFrame:
-    """One row per target source: size, scaled share and its token budget.
+def budgets(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, strict: bool = False, tolerance: float = 0.0) -> DataFrame:
+    """One row per target source: size, scaled share, its token budget and the largest total at which
+    every source still holds its share within ``tolerance`` (a part of the share).
 
-    The mixture aims at ``total_tokens``, by default all tokens of the participating sources; a
-    source that cannot fill its share is used up to its cap, and the report shows the share it
-    reaches. ``strict`` takes the largest mixture instead that every source can fill to its share
-    within its cap, however small that is.
+    The mixture aims at ``total_tokens``, by default all tokens of the participating sources. A
+    source that cannot fill its share is used up to its cap; what it lacks is spread over the
+    others in proportion to their shares, so the total is met wherever the caps allow it at all,
+    and sources that are not used up stay in proportion to each other. ``strict`` takes the largest
+    total that every source can fill to its share (less the tolerance) within its cap, however
+    small that is.
     """
     sizes = counts.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("n_docs"))
     t = _targets(targets).join(sizes, "source", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     w = Window.partitionBy(F.lit(1))  # one row per target source
     live = (F.col("share") > 0) & (F.col("size") > 0) & (F.col("cap") > 0)
     t = t.withColumn("scaled", F.when(live, F.col("share") / F.sum(F.when(live, F.col("share"))).over(w)).otherwise(F.lit(0.0)))
-    room = F.when(F.col("scaled") > 0, F.col("size") * F.col("cap") / F.col("scaled"))
+    t = t.withColumn("most", F.when(F.col("scaled") > 0, F.col("size") * F.col("cap")).otherwise(F.lit(0)).cast("double"))
+    t = t.withColumn("room", F.when(F.col("scaled") > 0, F.col("most") / F.col("scaled")))
+    t = t.withColumn("feasible", F.min("room").over(w) / F.lit(1.0 - tolerance))
     if strict:
-        whole = F.min(room).over(w)
+        aim = F.col("feasible")
     else:
-        whole = F.sum(F.when(live, F.col("size"))).over(w).cast("double") if total_tokens is None else F.lit(float(total_tokens))
-    wanted = F.when(F.col("scaled") > 0, F.floor(F.col("scaled") * whole + F.lit(1e-6))).otherwise(F.lit(0))
-    return t.withColumn("budget", F.least(wanted, F.when(F.col("scaled") > 0, F.col("size") * F.col("cap")).otherwise(F.lit(0))).cast("long"))
+        aim = F.sum(F.when(live, F.col("size"))).over(w).cast("double") if total_tokens is None else F.lit(float(total_tokens))
+    t = t.withColumn("aim", aim)
+    # the level at which min(most, share x level) sums to the aim: with the sources of least room used up
+    up = Window.partitionBy(F.lit(1)).orderBy(F.col("room").asc_nulls_last(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    used, left = F.coalesce(F.sum("most").over(up), F.lit(0.0)), F.lit(1.0) - F.coalesce(F.sum("scaled").over(up), F.lit(0.0))
+    t = t.withColumn("_level", F.when((F.col("scaled") > 0) & (left > 1e-12), (F.col("aim") - used) / left))
+    t = t.withColumn("level", F.greatest(F.lit(0.0), F.coalesce(F.max("_level").over(w), F.lit(0.0))))
+    wanted = F.when(F.col("scaled") > 0, F.floor(F.col("scaled") * F.col("level") + F.lit(1e-6))).otherwise(F.lit(0))
+    return t.withColumn("budget", F.least(wanted, F.col("most")).cast("long")).select("source", "share", "cap", "size", "n_docs", "scaled", "feasible", "budget")
 
 
 def mixture(counts: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
-    """(doc_id, source, n_tokens, copies) of the used documents. The cut takes the document whose
-    middle lies before the budget's end, so a source misses its budget by at most half a document."""
+    """(doc_id, source, n_tokens, copies, part_tokens) of the used documents: each is used ``copies`` times
+    as a whole, and the one in which its source's budget ends once more with its first
+    ``part_tokens`` tokens, so every source holds exactly its budget. A part counts as a use."""
     p = plan.where("budget > 0").select("source", "budget", "size", "cap")
     key = F.xxhash64(F.lit(seed), "doc_id")
     d = counts.join(p, "source").withColumn("key", key).withColumn("range", F.shiftrightunsigned("key", 64 - RANGES.bit_length() + 1))
@@ -96,25 +109,28 @@ def mixture(counts: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     ranges = d.groupBy("source", "range").agg(F.sum("n_tokens").alias("in_range"))
     offsets = ranges.select("source", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("offset"))
     d = d.join(offsets, ["source", "range"])
-    start = F.col("offset") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
-    extra = (F.col("epochs") < F.col("cap")) & (start + F.col("n_tokens") / 2 <= F.col("rest"))
-    d = d.withColumn("copies", (F.col("epochs") + extra.cast("int")).cast("int"))
-    return d.where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
+    d = d.withColumn("start", F.col("offset") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    open_ = (F.col("epochs") < F.col("cap")) & (F.col("start") < F.col("rest"))
+    whole = open_ & (F.col("start") + F.col("n_tokens") <= F.col("rest"))
+    d = d.withColumn("copies", (F.col("epochs") + whole.cast("int")).cast("int"))
+    d = d.withColumn("part_tokens", F.when(open_ & ~whole, F.col("rest") - F.col("start")).otherwise(F.lit(0)).cast("long"))
+    return d.where("copies > 0 OR part_tokens > 0").select("doc_id", "source", "n_tokens", "copies", "part_tokens")
 
 
 def report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per target source: wanted and reached share, tokens, documents and the most often a document is used."""
-    got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("docs"), F.max("copies").alias("most_copies"))
+    """Per target source: wanted and reached share, tokens, documents, the most often a document is used, and the
+    largest total at which all sources could hold their shares."""
+    got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies") + F.col("part_tokens")).alias("tokens"), F.count("*").alias("docs"), F.max(F.col("copies") + (F.col("part_tokens") > 0).cast("int")).alias("most_copies"))
     w = Window.partitionBy(F.lit(1))  # one row per target source
-    r = plan.select("source", "share", "scaled", "size", "cap").join(got, "source", "left").fillna(0, ["tokens", "docs", "most_copies"])
+    r = plan.select("source", "share", "scaled", "size", "cap", "feasible").join(got, "source", "left").fillna(0, ["tokens", "docs", "most_copies"])
     total = F.sum("tokens").over(w)
     reached = F.when(total > 0, F.col("tokens") / total).otherwise(F.lit(0.0))
-    return r.select("source", F.col("share").alias("target_share"), F.col("scaled").alias("wanted_share"), reached.alias("reached_share"), "tokens", "docs", "most_copies", F.col("cap").alias("max_repeats"), F.col("size").alias("available_tokens"))
+    return r.select("source", F.col("share").alias("target_share"), F.col("scaled").alias("wanted_share"), reached.alias("reached_share"), "tokens", "docs", "most_copies", F.col("cap").alias("max_repeats"), F.col("size").alias("available_tokens"), F.floor("feasible").alias("feasible_total"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, strict: bool = False, seed: int = 17, folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, strict: bool = False, tolerance: float = 0.0, seed: int = 17, folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report. Texts are tokenised once; the counts are kept in the shared folder."""
     counts = materialize(token_counts(documents, folder, name))
-    plan = budgets(counts, targets, total_tokens, strict)
+    plan = materialize(budgets(counts, targets, total_tokens, strict, tolerance))
     mixed = mixture(counts, plan, seed)
     return mixed, report(mixed, plan)

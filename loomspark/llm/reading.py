@@ -8,7 +8,8 @@ documents come from folds that share no source, and an isotonic curve fitted on
 the grades.
 
 Defined results: documents with a null id are skipped; null or empty texts, texts without prose and
-texts in other languages have no grade and are never found; null ratings and ratings outside 1 to 4
+texts in other languages have no grade and are never found; texts of any length are graded, a few
+words only as far as they can carry a grade (``PRIOR_WORDS``); null ratings and ratings outside 1 to 4
 are ignored; without any usable rating no document is graded; repeated documents get equal grades.
 """
 
@@ -25,8 +26,11 @@ from pyspark.sql import types as T
 
 #: Rated documents that the trees are fitted on, at most (the smallest hashes of their ids).
 SAMPLE = 4000
-#: Words of prose below which a text has no grade.
-LEAST_WORDS = 30
+#: Words of prose that a text needs for a grade: any.
+LEAST_WORDS = 1
+#: A grade is drawn towards the mean of all ratings as if the text had so many more words of mean
+#: difficulty: no matter at 200 words, and one hard sentence alone is not a hard document.
+PRIOR_WORDS = 10
 #: Features for so many texts are made at once.
 CHUNK = 2000
 
@@ -282,8 +286,15 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([v for p in blocks for v in p[:2]]), np.array([p[2] for p in blocks for _ in (0, 1)])
 
 
+def curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The isotonic curve as a line through the middles of its steps, so that grades inside a step still differ."""
+    at, value = isotonic(x, y, w)
+    middle, value = (at[::2] + at[1::2]) / 2, value[::2]
+    return middle, value
+
+
 class Grader:
-    """Trees with their calibration and the error met on sources not seen in fitting."""
+    """Trees with their calibration and the error met on sources seen neither in fitting nor in calibrating."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, source: np.ndarray, folds: int = 5):
         w = np.sqrt(n)
@@ -297,30 +308,39 @@ class Grader:
                 out[b] = Trees().fit(x[a], y[a], w[a]).predict(x[b])
         self.trees = Trees().fit(x, y, w)
         seen = ~np.isnan(out)
-        self.knots = isotonic(out[seen], y[seen], w[seen]) if seen.sum() >= 20 else None
-        self.error = float(np.sqrt(np.average((np.interp(out[seen], *self.knots) - y[seen]) ** 2, weights=w[seen]))) if self.knots else float("nan")
+        self.knots = curve(out[seen], y[seen], w[seen]) if seen.sum() >= 20 else None
+        held = np.full(len(y), np.nan)
+        for k in range(folds):
+            a, b = seen & (fold != k), seen & (fold == k)
+            if a.sum() >= 20 and b.any():
+                held[b] = np.interp(out[b], *curve(out[a], y[a], w[a]))
+        ok = ~np.isnan(held)
+        self.mean = float(np.average(y, weights=w))
+        self.error = float(np.sqrt(np.average((held[ok] - y[ok]) ** 2, weights=w[ok]))) if ok.any() else float("nan")
 
-    def grade(self, x: np.ndarray) -> np.ndarray:
+    def grade(self, x: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Calibrated grades of texts with so many words of prose."""
         f = self.trees.predict(x)
-        if self.knots is None:
-            return f
-        # between the steps of the curve the trees' own value decides
-        return (np.interp(f, *self.knots) + f) / 2
+        f = f if self.knots is None else np.interp(f, *self.knots)
+        return (words * f + PRIOR_WORDS * self.mean) / (words + PRIOR_WORDS)
 
 
 def fit(documents: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Grader | None:
-    """A grader from at most ``sample`` rated documents; their ids, ratings and texts come to the driver."""
+    """A grader from at most ``sample`` rated documents; their ids, ratings and features come to the driver."""
     r = ratings.where("doc_id IS NOT NULL AND rating BETWEEN 1 AND 4").groupBy("doc_id").agg(F.avg("rating").alias("y"), F.count("*").alias("n"))
     rated = r.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text", "source").join(F.broadcast(rated), "doc_id").where("text IS NOT NULL AND text <> ''").orderBy("doc_id").toPandas()
-    if not len(rows):
-        return None
-    x, english, count = features(list(rows["text"]))
-    ok = english & (count >= LEAST_WORDS)
-    if ok.sum() < 20:
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x, english, count = features(list(f["text"]))
+            ok = english & (count >= LEAST_WORDS)
+            yield pd.DataFrame({"doc_id": f["doc_id"], "source": f["source"], "y": f["y"], "n": f["n"], "x": list(x)})[ok]
+
+    texts = documents.select("doc_id", "text", "source").join(F.broadcast(rated), "doc_id").where("text IS NOT NULL AND text <> ''")
+    rows = texts.mapInPandas(run, "doc_id long, source string, y double, n long, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    if len(rows) < 20:
         return None
-    rows, x = rows[ok], x[ok]
-    return Grader(x, rows["y"].to_numpy(float), rows["n"].to_numpy(float), rows["source"].fillna("").str.strip().str.lower().to_numpy())
+    return Grader(np.array(rows["x"].tolist(), float), rows["y"].to_numpy(float), rows["n"].to_numpy(float), rows["source"].fillna("").str.strip().str.lower().to_numpy())
 
 
 _GRADES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("english", T.BooleanType()), T.StructField("prose_words", T.LongType()), T.StructField("grade", T.DoubleType())])
@@ -338,7 +358,7 @@ def grades(documents: DataFrame, grader: Grader | None) -> DataFrame:
                 ok = english & (count >= LEAST_WORDS)
                 g = np.full(len(part), np.nan)
                 if grader is not None and ok.any():
-                    g[ok] = np.clip(grader.grade(x[ok]), 1, 4)
+                    g[ok] = np.clip(grader.grade(x[ok], count[ok]), 1, 4)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "english": english, "prose_words": count.astype(np.int64), "grade": pd.Series(g).astype(object).where(~np.isnan(g), None)})
 
     return documents.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, _GRADES)
