@@ -125,6 +125,9 @@ class Chart:
     def __init__(self, grammar: Grammar, inside: Callable[[str, str], int]):
         self.g, self.inside = grammar, inside
         self.memo: dict[tuple, int] = {}
+        #: Keys whose cost is a bound, and whether a bound has gone into the costs asked for lately.
+        self.bounds: set[tuple] = set()
+        self.touched = False
 
     def cost(self, start: str, kinds: tuple[str, ...]) -> int:
         key = (start, kinds)
@@ -132,17 +135,27 @@ class Chart:
         if c is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
+                self.bounds.clear()
+            outer, self.touched = self.touched, False
             c = self.memo[key] = self._cost(start, kinds)
+            if self.touched:
+                self.bounds.add(key)
+            self.touched |= outer
+        elif key in self.bounds:
+            self.touched = True
         return c
 
     def _cost(self, start: str, kinds: tuple[str, ...]) -> int:
         if self._exact(start, kinds):
+            self.touched = False
             return 0
+        self.touched = False  # whether it is exact leaves no bounds
         most = self.MOST if len(kinds) <= 12 else self.MOST - 1 if len(kinds) <= 24 else self.MOST - 2 if len(kinds) <= 60 else 0
         for budget in range(1, most + 1):
             c = self._repair(start, kinds, budget)
             if c is not None:
                 return c
+        self.touched = True
         return max(most + 1, len(kinds))
 
     def _exact(self, start: str, kinds: tuple[str, ...]) -> bool:

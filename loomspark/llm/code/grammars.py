@@ -263,9 +263,9 @@ ppath = '::'? tseg ('::' tseg)*
 patterns = attr* pattern
 field_pats = attr* ('ref'? 'mut'? ID | (ID | NUM) ':' pattern | '..')
 lit = '-'? NUM | STR | 'true' | 'false'
-stm = inner* stmt*
+stm = inner* stmt* (attr* expr)?
 inner = '#' '!' S:any
-stmt = item | attr* 'let' pattern (':' type)? ('=' expr ('else' B:stm)?)? ';' | attr* block_expr | attr* expr ';' | attr* expr
+stmt = item | attr* 'let' pattern (':' type)? ('=' expr ('else' B:stm)?)? ';' | attr* block_expr | attr* expr ';'
 block_expr = (LIFE ':')? ('unsafe' | 'async' 'move'? | 'const')? B:stm | 'if' cond_expr B:stm ('else' 'if' cond_expr B:stm)* ('else' B:stm)? | 'match' expr B:arms | (LIFE ':')? 'loop' B:stm | (LIFE ':')? 'while' cond_expr B:stm | (LIFE ':')? 'for' pattern 'in' expr B:stm | path '!' B:any
 cond_expr = expr | 'let' pattern '=' expr | cond_expr '&&' 'let' pattern '=' expr
 arms = inner* (attr* pattern ('if' cond_expr)? '=>' (expr ',' | block_expr ','? | expr))*

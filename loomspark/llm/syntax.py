@@ -3,13 +3,14 @@ parsing.
 
 Brackets (or indentation, or keywords) are matched first, unmatched ones at one edit each; the
 statements between them go through the chart, whose memory of statement outlines is kept across
-files. Long or hopeless statements are bounded, not searched to the end: their cost is their deletion.
+files. Long or hopeless statements are bounded, not searched to the end: their cost is their deletion,
+and ``is_minimum`` says so.
 
 Defined results: of several states of a file the greatest ``modified_at`` is current (nulls lowest,
 then the greater content); null repositories, paths and contents are skipped; an empty code file is
 valid, an empty JSON file is not; suffixes without a grammar are left out; a file nested too deeply
-for the parser is judged by its brackets alone; Python files with a nonzero cost are checked
-once more with the interpreter's own parser, which clears those it accepts.
+for the parser is judged by its brackets alone; Python files are checked once more with the
+interpreter's own parser, which clears those it accepts and counts one edit for others it refuses.
 """
 
 from __future__ import annotations
@@ -58,8 +59,22 @@ def accepts(lang: str, text: str) -> bool:
     return True
 
 
-def judge(path: str, text: str, count: bool = True) -> tuple[str, int, str, int, Tree] | None:
-    """(language, edit cost, reason, line of the first edit, tree) of one file; None without a grammar.
+def refused(text: str) -> int:
+    """Where the interpreter's parser stops."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text)
+    except SyntaxError as e:
+        return sum(len(x) + 1 for x in text.split("\n")[: max(0, (e.lineno or 1) - 1)])
+    except (ValueError, MemoryError, RecursionError):
+        pass
+    return 0
+
+
+def judge(path: str, text: str, count: bool = True) -> tuple[str, int, str, int, Tree, bool] | None:
+    """(language, edit cost, reason, line of the first edit, tree, whether the cost is a minimum) of one
+    file; None without a grammar.
 
     Without ``count`` only whether the cost is 0 matters to the caller.
     """
@@ -68,6 +83,7 @@ def judge(path: str, text: str, count: bool = True) -> tuple[str, int, str, int,
         return None
     try:
         cost, edits, tree, pieces = parser(lang).file(text, count)
+        minimal = parser(lang).minimal
     except RecursionError:
         _PARSERS.pop(lang, None)
         tree = Tree.__new__(Tree)
@@ -76,11 +92,11 @@ def judge(path: str, text: str, count: bool = True) -> tuple[str, int, str, int,
             edits = list(tree.repairs)
         except RecursionError:
             tree.tokens, tree.nodes, tree.truncated, edits = [], [], False, []
-        cost, pieces = len(edits), 1
-    if cost and accepts(lang, text):
-        cost, edits = 0, []
+        cost, pieces, minimal = len(edits), 1, False
+    if lang == "python" and bool(cost) == accepts(lang, text):
+        cost, edits, minimal = (0, [], True) if cost else (1, [(refused(text), "statement")], False)
     if not cost:
-        return lang, 0, "", 0, tree
+        return lang, 0, "", 0, tree, True
     places = sorted(edits)
     line = text.count("\n", 0, places[0][0]) + 1
     if any(w == "conflict" for _, w in edits):
@@ -93,11 +109,15 @@ def judge(path: str, text: str, count: bool = True) -> tuple[str, int, str, int,
         why = "bracket"
     else:
         why = "statement"
-    return lang, cost, why, line, tree
+    return lang, cost, why, line, tree, minimal
 
 
 def check_files(sources: DataFrame) -> DataFrame:
-    """(repo_path, path, language, edit_cost, reason, line) of every current file that has a grammar."""
+    """(repo_path, path, language, edit_cost, is_minimum, reason, line) of every current file that has a grammar.
+
+    Whether the cost is 0 is exact for the grammar; ``is_minimum`` tells whether a nonzero cost is the
+    least there is, or a bound where the search was limited.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -105,11 +125,11 @@ def check_files(sources: DataFrame) -> DataFrame:
             for repo, path, text in zip(f["repo_path"], f["path"], f["content"]):
                 j = judge(path, text)
                 if j is not None:
-                    out.append((repo, path, j[0], j[1], j[2], j[3]))
-            yield pd.DataFrame(out, columns=["repo_path", "path", "language", "edit_cost", "reason", "line"])
+                    out.append((repo, path, j[0], j[1], j[5], j[2], j[3]))
+            yield pd.DataFrame(out, columns=["repo_path", "path", "language", "edit_cost", "is_minimum", "reason", "line"])
 
     files = current(sources).where("content IS NOT NULL")
-    return files.mapInPandas(run, "repo_path string, path string, language string, edit_cost int, reason string, line int")
+    return files.mapInPandas(run, "repo_path string, path string, language string, edit_cost int, is_minimum boolean, reason string, line int")
 
 
 def failure_rates(checked: DataFrame) -> DataFrame:
