@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as X
+from loomspark.session import materialize
 
 
 def query_terms(spark, query: str, drop_stop_words: bool = True) -> list[str]:
@@ -104,12 +105,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n)
 
 
+#: Queries that all tasks receive at once; more are cut into blocks, each met by its own copy of the vectors.
+QUERY_BLOCK = 4096
+
+
+def _against(vectors: DataFrame, query: DataFrame) -> DataFrame:
+    """Every vector beside every query of a stated set, block by block."""
+    query = materialize(query)
+    blocks = max(1, -(-query.count() // QUERY_BLOCK))
+    if blocks == 1:
+        return vectors.crossJoin(F.broadcast(query))  # at most one block of queries
+    q = query.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    v = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int"))
+    return v.join(q.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(63)))), ["_b", "_s"]).drop("_b", "_s")
+
+
 def nearest_to(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
     """The k vectors most similar to each query vector: vectors (id, vector), queries (qid, qv).
 
-    The queries are a stated set that the scan of all vectors meets in one pass.
+    The queries are a stated set that the scan of all vectors meets in blocks; each task keeps the
+    best k of a query before anything is shuffled.
     """
-    s = vectors.crossJoin(F.broadcast(query)).select("qid", "id", cosine(F.col("vector"), F.col("qv")).alias("score")).where("score IS NOT NULL AND NOT isnan(score)")
+    s = _against(vectors, query).select("qid", "id", cosine(F.col("vector"), F.col("qv")).alias("score")).where("score IS NOT NULL AND NOT isnan(score)")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -200,3 +217,15 @@ def truncate_texts(texts: DataFrame, budget: int, marker: str = "\n...[truncated
             yield pd.DataFrame(out, columns=["key", "text"])
 
     return texts.mapInPandas(run, "key string, text string")
+
+
+def nearest_labels(vectors: DataFrame, query: DataFrame) -> DataFrame:
+    """(qid, label, id, score, rank): every label by its nearest vector to each query, the query itself left out.
+
+    ``vectors`` has id, vector, label; ``query`` has qid, qv. Queries travel in blocks to the vectors;
+    the best of a label is kept map-side, so one row a query and label is shuffled from each task.
+    """
+    j = _against(vectors, query).where("id <> qid")
+    s = j.select("qid", "label", F.struct(cosine(F.col("vector"), F.col("qv")).alias("score"), (-F.col("id")).alias("o")).alias("x"))
+    best = s.groupBy("qid", "label").agg(F.max("x").alias("x")).select("qid", "label", (-F.col("x.o")).alias("id"), F.col("x.score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))

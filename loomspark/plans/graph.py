@@ -198,14 +198,20 @@ _TP = lambda c: f"(list_contains(string_split({c}, '/'), 'tests') OR starts_with
 _LW = "CASE layer WHEN 'STRUCTURAL' THEN 3.0 WHEN 'COCHANGE' THEN 2.0 WHEN 'HEADING' THEN 1.5 WHEN 'SEMANTIC' THEN 0.5 ELSE 1.0 END"
 
 
-def _rounds(k: int) -> str:
-    out = "r0 AS (SELECT repo_path, node_id, v, v AS r FROM base)"
-    for i in range(1, k + 1):
-        out += f""",
-m{i} AS (SELECT repo_path, sum(CASE WHEN node_id NOT IN (SELECT s FROM l WHERE l.repo_path = r{i - 1}.repo_path) THEN r ELSE 0 END) lost FROM r{i - 1} GROUP BY 1),
-g{i} AS (SELECT l.repo_path, l.t AS node_id, sum(r.r * l.p) g FROM r{i - 1} r JOIN l ON l.repo_path = r.repo_path AND l.s = r.node_id GROUP BY 1, 2),
-r{i} AS (SELECT r.repo_path, r.node_id, r.v, 0.15 * r.v + 0.85 * (coalesce(g.g, 0) + m.lost * r.v) AS r FROM r{i - 1} r LEFT JOIN g{i} g ON g.repo_path = r.repo_path AND g.node_id = r.node_id JOIN m{i} m ON m.repo_path = r.repo_path)"""
-    return out
+def _ranked(seed: str, digits: int) -> str:
+    """PageRank in SQL: rounds until a repository's ranks move by less than 1e-6 in all, at most 100."""
+    return f"""WITH RECURSIVE {_N}, {_E}, ok AS (SELECT DISTINCT repo_path, node_id, source_ref FROM n WHERE kind <> 'commit' AND node_id NOT LIKE 'commit:%'),
+w AS (SELECT e.repo_path, source, target, coalesce(weight, 0) * {_LW} AS w FROM e WHERE EXISTS (SELECT 1 FROM ok WHERE ok.repo_path = e.repo_path AND ok.node_id = e.source) AND EXISTS (SELECT 1 FROM ok WHERE ok.repo_path = e.repo_path AND ok.node_id = e.target)),
+u AS (SELECT repo_path, s, t, sum(w) w FROM (SELECT repo_path, source s, target t, w FROM w WHERE w > 0 UNION ALL SELECT repo_path, target, source, w FROM w WHERE w > 0) GROUP BY 1, 2, 3),
+l AS MATERIALIZED (SELECT repo_path, s, t, w / sum(w) OVER (PARTITION BY repo_path, s) AS p FROM u),
+sd AS (SELECT repo_path, node_id, {seed} sw FROM ok),
+base AS MATERIALIZED (SELECT repo_path, node_id, CASE WHEN sum(sw) OVER (PARTITION BY repo_path) > 0 THEN sw / sum(sw) OVER (PARTITION BY repo_path) ELSE 1.0 / count(*) OVER (PARTITION BY repo_path) END AS v,
+  NOT EXISTS (SELECT 1 FROM l WHERE l.repo_path = sd.repo_path AND l.s = sd.node_id) AS lone FROM sd),
+pr AS (SELECT repo_path, node_id, v, lone, v AS r, 0 AS k, 1.0::DOUBLE AS moved FROM base
+UNION ALL SELECT repo_path, node_id, v, lone, nr, k + 1, sum(abs(nr - r)) OVER (PARTITION BY repo_path) FROM (
+  SELECT q.repo_path, q.node_id, q.v, q.lone, q.r, q.k, 0.15 * q.v + 0.85 * (coalesce(g.g, 0) + sum(CASE WHEN q.lone THEN q.r ELSE 0 END) OVER (PARTITION BY q.repo_path) * q.v) AS nr
+  FROM pr q LEFT JOIN (SELECT l.repo_path, l.t, sum(z.r * l.p) AS g FROM pr z JOIN l ON l.repo_path = z.repo_path AND l.s = z.node_id GROUP BY 1, 2) g ON g.repo_path = q.repo_path AND g.t = q.node_id WHERE q.moved >= 1e-6 AND q.k < 100) x)
+SELECT repo_path, node_id, round(r / sum(r) OVER (PARTITION BY repo_path), {digits}) AS rank FROM (SELECT * FROM pr QUALIFY k = max(k) OVER (PARTITION BY repo_path))"""
 
 
 ORACLE = {
@@ -229,17 +235,12 @@ o AS (SELECT l.repo_path, l.b AS node_id, max(l.w) * 5 AS bonus FROM l JOIN s ON
 t AS (SELECT l.repo_path, l.b AS node_id, max(l.w) * 2 AS bonus FROM l JOIN o ON o.repo_path = l.repo_path AND o.node_id = l.a WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.repo_path = l.repo_path AND z.node_id = l.b)
   AND NOT EXISTS (SELECT 1 FROM o z WHERE z.repo_path = l.repo_path AND z.node_id = l.b) GROUP BY 1, 2)
 SELECT repo_path, node_id, round(bonus, 6) AS bonus FROM o UNION ALL SELECT repo_path, node_id, round(bonus, 6) FROM t""",
-    "page_rank": f"""WITH {_N}, {_E}, ok AS (SELECT DISTINCT repo_path, node_id, source_ref FROM n WHERE kind <> 'commit' AND node_id NOT LIKE 'commit:%'),
-w AS (SELECT e.repo_path, source, target, coalesce(weight, 0) * {_LW} AS w FROM e WHERE EXISTS (SELECT 1 FROM ok WHERE ok.repo_path = e.repo_path AND ok.node_id = e.source) AND EXISTS (SELECT 1 FROM ok WHERE ok.repo_path = e.repo_path AND ok.node_id = e.target)),
-u AS (SELECT repo_path, s, t, sum(w) w FROM (SELECT repo_path, source s, target t, w FROM w WHERE w > 0 UNION ALL SELECT repo_path, target, source, w FROM w WHERE w > 0) GROUP BY 1, 2, 3),
-l AS (SELECT repo_path, s, t, w / sum(w) OVER (PARTITION BY repo_path, s) AS p FROM u),
-sd AS (SELECT repo_path, node_id, CASE WHEN source_ref LIKE '%scanner%' THEN 1.0 ELSE 0.0 END sw FROM ok),
-base AS (SELECT repo_path, node_id, CASE WHEN sum(sw) OVER (PARTITION BY repo_path) > 0 THEN sw / sum(sw) OVER (PARTITION BY repo_path) ELSE 1.0 / count(*) OVER (PARTITION BY repo_path) END AS v FROM sd),
-{_rounds(3)} SELECT repo_path, node_id, round(r / sum(r) OVER (PARTITION BY repo_path), 9) AS rank FROM r3""",
+    "page_rank": _ranked("CASE WHEN source_ref LIKE '%scanner%' THEN 1.0 ELSE 0.0 END", 9),
+    "page_rank_converged": _ranked("0.0", 6),
     "surprising_links": f"""WITH {_FILES}, {_CO} SELECT repo_path, a, b, round(weight, 6) AS weight, row_number() OVER (PARTITION BY repo_path ORDER BY weight DESC, a, b) AS rank FROM co
-WHERE n >= 2 AND list_slice(string_split(a, '/'), 1, 2) <> list_slice(string_split(b, '/'), 1, 2) AND NOT ({_TP('a')} <> {_TP('b')} AND {_BASE.replace('path', 'a')} = {_BASE.replace('path', 'b')}) QUALIFY rank <= 5""",
+WHERE list_slice(string_split(a, '/'), 1, 2) <> list_slice(string_split(b, '/'), 1, 2) AND NOT ({_TP('a')} <> {_TP('b')} AND {_BASE.replace('path', 'a')} = {_BASE.replace('path', 'b')}) QUALIFY rank <= 5""",
     "file_impact": f"""WITH {_N}, {_E}, {_FILES}, {_CO}, fl AS (SELECT DISTINCT repo_path, node_id, source_ref FROM n WHERE (granularity = 'file' OR kind = 'file') AND kind <> 'commit' AND node_id NOT LIKE 'commit:%'),
-k AS (SELECT repo_path, source, target, relation, coalesce(weight, 0) AS w FROM e WHERE layer = 'STRUCTURAL' AND source <> target UNION ALL SELECT repo_path, 'file:' || a, 'file:' || b, 'cochange', 2 * weight FROM co WHERE n >= 2),
+k AS (SELECT repo_path, source, target, relation, coalesce(weight, 0) AS w FROM e WHERE layer = 'STRUCTURAL' AND source <> target UNION ALL SELECT repo_path, 'file:' || a, 'file:' || b, 'cochange', 2 * weight FROM co),
 u AS (SELECT repo_path, source x, target y, relation, w FROM k UNION ALL SELECT repo_path, target, source, relation, w FROM k),
 j AS (SELECT u.repo_path, a.source_ref AS path, b.source_ref AS neighbour, relation, sum(w) w FROM u JOIN fl a ON a.repo_path = u.repo_path AND a.node_id = u.x JOIN fl b ON b.repo_path = u.repo_path AND b.node_id = u.y GROUP BY 1, 2, 3, 4),
 s AS (SELECT repo_path, path, neighbour, sum(w) score, string_agg(relation, ',' ORDER BY w DESC, relation) AS why FROM j GROUP BY 1, 2, 3)

@@ -182,7 +182,7 @@ SELECT repo_path, count(*) AS n_edges FROM (SELECT DISTINCT repo_path, edge_id,
     "file_churn": f"WITH {_FILES} SELECT repo_path, path, count(*) AS churn FROM f GROUP BY 1, 2",
     "cochange_edges": f"""WITH {_FILES}, ok AS (SELECT repo_path, sha FROM f GROUP BY 1, 2 HAVING count(*) <= 50), g AS (SELECT f.* FROM f JOIN ok USING (repo_path, sha)),
 p AS (SELECT x.repo_path, x.path a, y.path b, count(*) n FROM g x JOIN g y ON x.repo_path = y.repo_path AND x.sha = y.sha AND x.path < y.path GROUP BY 1, 2, 3)
-SELECT repo_path, a, b, n, round(n::DOUBLE / max(n) OVER (PARTITION BY repo_path), 6) AS weight FROM p QUALIFY n >= 2""",
+SELECT repo_path, a, b, n, round(n::DOUBLE / max(n) OVER (PARTITION BY repo_path), 6) AS weight FROM p""",
     "commit_touches": f"WITH {_CUR}, {_FILES} SELECT f.repo_path, f.path, count(*) AS n_commits FROM f JOIN cur ON cur.repo_path = f.repo_path AND cur.path = f.path GROUP BY 1, 2",
     "file_complexity": f"WITH {_CUR}, {_CPLX} SELECT repo_path, path, branches, complexity FROM cx",
     "file_hotspots": f"""WITH {_CUR}, {_CPLX}, {_FILES}, ch AS (SELECT repo_path, path, count(*) AS churn FROM f GROUP BY 1, 2),
