@@ -64,10 +64,13 @@ def unused_tiers(unused: DataFrame, sources: DataFrame) -> DataFrame:
     w = sources.where("content IS NOT NULL").select("repo_path", "path", (X.suffix_bucket(F.col("path")) == "doc").alias("doc"), F.explode(words).alias("label"))
     names = unused.select("repo_path", "label").distinct()
     w = w.join(names, ["repo_path", "label"], "left_semi")
-    j = unused.join(w, ["repo_path", "label"], "left")
-    other = F.col("path").isNotNull() & (F.col("path") != F.col("source_ref"))
-    g = j.groupBy("repo_path", "node_id", "label", "source_ref").agg(F.count_if(other & ~F.col("doc")).alias("code"), F.count_if(other & F.col("doc")).alias("docs"))
-    return g.select("repo_path", "node_id", "label", "source_ref", F.when((F.col("code") == 0) & (F.col("docs") == 0), "high").when(F.col("code") == 0, "medium").otherwise("low").alias("tier"))
+    # counted per name first; a symbol's own file is taken off, so a common name never meets all its files
+    total = w.groupBy("repo_path", "label").agg(F.count_if(~F.col("doc")).alias("_code"), F.count_if("doc").alias("_docs"))
+    own = w.select("repo_path", "label", F.col("path").alias("source_ref"), F.col("doc").alias("_own_doc"))
+    j = unused.join(total, ["repo_path", "label"], "left").join(own, ["repo_path", "label", "source_ref"], "left").fillna(0, ["_code", "_docs"])
+    code = F.col("_code") - F.coalesce((~F.col("_own_doc")).cast("int"), F.lit(0))
+    docs = F.col("_docs") - F.coalesce(F.col("_own_doc").cast("int"), F.lit(0))
+    return j.select("repo_path", "node_id", "label", "source_ref", F.when((code == 0) & (docs == 0), "high").when(code == 0, "medium").otherwise("low").alias("tier"))
 
 
 def mentions(sources: DataFrame, symbol: str) -> DataFrame:

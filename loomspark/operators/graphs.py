@@ -139,12 +139,39 @@ def proximity(edges: DataFrame, seeds: DataFrame, first: float = 5.0, second: fl
     return one.unionByName(two)
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 30, floor: float = 0.1) -> DataFrame:
+def _label_task(rounds: int):
+    """A cogrouped function that spreads one repository's labels."""
+
+    def run(key, ids: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        names = np.array(sorted(ids["node_id"]), object)
+        index = pd.Index(names)
+        a, b, m = index.get_indexer(links["a"]), index.get_indexer(links["b"]), links["m"].to_numpy(np.int64)
+        n = len(names)
+        label = np.arange(n)  # numbers in the order of the names, so the smallest name is the smallest number
+        for _ in range(rounds):
+            votes, at = np.unique(a * np.int64(n) + label[b], return_inverse=True)
+            total = np.bincount(at, weights=m, minlength=len(votes))
+            who, what = votes // n, votes % n
+            o = np.lexsort((what, -total, who))
+            first = o[np.concatenate([[True], who[o][1:] != who[o][:-1]])] if len(o) else o
+            new = label.copy()
+            new[who[first]] = what[first]
+            if (new == label).all():
+                break
+            label = new
+        return pd.DataFrame({"repo_path": key[0], "node_id": names, "community": names[label]})
+
+    return run
+
+
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 30, floor: float = 0.1, small: int = SMALL) -> DataFrame:
     """Synchronous label propagation: (repo_path, node_id, community).
 
     Every node starts as its own label and takes its neighbours' commonest one, of equally common
     ones the smallest; rounds stop when nothing changes. Heading links and weak co-change links
-    carry no labels; commits stay alone.
+    carry no labels; commits stay alone. A repository of at most ``small`` nodes and links is one
+    task; of larger ones each round is a table in the shared folder, and a node's votes are added up
+    map-side, so a hub brings one row a label and task and not one a link.
     """
     ids = nodes.select("repo_path", "node_id", (F.col("kind") == "commit").alias("c")).distinct()
     live = ids.where("NOT c AND node_id NOT LIKE 'commit:%'").select("repo_path", "node_id")
@@ -152,7 +179,14 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 30, floor: flo
     e = e.join(live.withColumnRenamed("node_id", "source"), ["repo_path", "source"], "left_semi").join(live.withColumnRenamed("node_id", "target"), ["repo_path", "target"], "left_semi")
     both = e.select("repo_path", F.col("source").alias("a"), F.col("target").alias("b")).unionByName(e.select("repo_path", F.col("target").alias("a"), F.col("source").alias("b")))
     both = materialize(both.groupBy("repo_path", "a", "b").agg(F.count("*").alias("m")))
-    labels = materialize(ids.select("repo_path", "node_id", F.col("node_id").alias("label")))
+    ids = materialize(ids.select("repo_path", "node_id").distinct())
+    sizes = ids.select("repo_path").unionByName(both.select("repo_path")).groupBy("repo_path").count()
+    big = materialize(sizes.where(F.col("count") > small).select("repo_path"))
+    little = ids.join(big, "repo_path", "left_anti").groupBy("repo_path").cogroup(both.join(big, "repo_path", "left_anti").groupBy("repo_path"))
+    done = little.applyInPandas(_label_task(rounds), "repo_path string, node_id string, community string")
+    if big.isEmpty():
+        return done
+    both, labels = both.join(big, "repo_path", "left_semi"), ids.join(big, "repo_path", "left_semi").select("repo_path", "node_id", F.col("node_id").alias("label"))
     w = Window.partitionBy("repo_path", "node_id").orderBy(F.desc("m"), "label")
     for _ in range(rounds):
         votes = both.join(labels.select("repo_path", F.col("node_id").alias("b"), "label"), ["repo_path", "b"]).groupBy("repo_path", F.col("a").alias("node_id"), "label").agg(F.sum("m").alias("m"))
@@ -161,7 +195,7 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 30, floor: flo
         labels = nxt.drop("moved")
         if nxt.where("moved").isEmpty():
             break
-    return labels.withColumnRenamed("label", "community")
+    return done.unionByName(labels.withColumnRenamed("label", "community"))
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, most_depth: int = 6, most_paths: int = 5) -> DataFrame:
@@ -226,8 +260,21 @@ def relations(nodes: DataFrame, edges: DataFrame, relation: str, needle: str, mo
 
 
 def containers(nodes: DataFrame) -> DataFrame:
-    """(repo_path, node_id, container): the tightest other span of the same file that holds a node's span."""
-    s = nodes.where("span_start IS NOT NULL AND span_end IS NOT NULL AND granularity = 'symbol'").select("repo_path", "source_ref", "node_id", "span_start", "span_end")
-    o = s.select("repo_path", "source_ref", F.col("node_id").alias("o_id"), F.col("span_start").alias("o_s"), F.col("span_end").alias("o_e"))
-    j = s.join(o, ["repo_path", "source_ref"]).where("o_id <> node_id AND o_s <= span_start AND span_end <= o_e AND NOT (o_s = span_start AND o_e = span_end)")
+    """(repo_path, node_id, container): the tightest other span of the same file that holds a node's span.
+
+    Spans are brought to ranges of lines (of 64, 512, ... lines): a span stands in the ranges it
+    covers at the scale of its own length, at most nine of them, and is looked up by the first line of
+    others once a scale; so a file's spans meet only those that can hold them.
+    """
+    s = nodes.where("span_start IS NOT NULL AND span_end IS NOT NULL AND granularity = 'symbol'").select("repo_path", "source_ref", "node_id", F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"))
+    widths = [64 * 8**k for k in range(8)]
+    length = F.col("span_end") - F.col("span_start")
+    scale = F.lit(len(widths) - 1)
+    for k in reversed(range(len(widths) - 1)):
+        scale = F.when(length < 8 * widths[k], k).otherwise(scale)
+    width = F.element_at(F.array(*[F.lit(x).cast("long") for x in widths]), F.col("scale") + 1)
+    o = s.where("span_end >= span_start").withColumn("scale", scale).withColumn("range", F.explode(F.sequence(F.floor(F.col("span_start") / width), F.floor(F.col("span_end") / width))))
+    o = o.select("repo_path", "source_ref", "scale", "range", F.col("node_id").alias("o_id"), F.col("span_start").alias("o_s"), F.col("span_end").alias("o_e"))
+    q = s.withColumn("scale", F.explode(F.array(*[F.lit(k) for k in range(len(widths))]))).withColumn("range", F.floor(F.col("span_start") / width))
+    j = q.join(o, ["repo_path", "source_ref", "scale", "range"]).where("o_id <> node_id AND o_s <= span_start AND span_end <= o_e AND NOT (o_s = span_start AND o_e = span_end)")
     return j.groupBy("repo_path", "node_id").agg(F.min(F.struct((F.col("o_e") - F.col("o_s")).alias("len"), "o_id")).alias("x")).select("repo_path", "node_id", F.col("x.o_id").alias("container"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import answers, graph, repository, search, training
+from loomspark.plans import answers, figures, graph, repository, search, training
 
-_MODULES = [training, repository, graph, search, answers]
+_MODULES = [training, repository, graph, search, answers, figures]
 FLAGSHIP = "keyword_search"
 
 

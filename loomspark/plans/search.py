@@ -94,7 +94,7 @@ def packed_context(s, d):
     """What a budget of 4000 tokens takes of the best keyword hits."""
     k = retrieval.keyword_scores(_sources(s, d), TASK)
     t = _sources(s, d).select("repo_path", "path", X.token_estimate(F.col("content"), X.classify_path(F.col("path"))).alias("tokens"))
-    items = k.join(t, ["repo_path", "path"]).select(F.col("repo_path").alias("group"), F.col("path").alias("id"), "score", "tokens")
+    items = k.join(t, ["repo_path", "path"]).select(F.col("repo_path").alias("group"), F.col("path").alias("id"), F.round("score", 9).alias("score"), "tokens")
     return retrieval.pack(items).select(F.col("group").alias("repo_path"), F.col("id").alias("path"), "tokens", "taken")
 
 
@@ -103,7 +103,7 @@ def _bundle_scores(s, d):
     score, score = seed + 10 x rank; all files with a positive seed are seeds of the rank."""
     cur = materialize(_sources(s, d))
     k = materialize(retrieval.keyword_scores(cur, TASK))
-    w = Window.partitionBy("repo_path").orderBy(F.desc("score"), "path")
+    w = Window.partitionBy("repo_path").orderBy(F.desc(F.round("score", 9)), "path")
     hits = k.where("score > 0").withColumn("pos", F.row_number().over(w))
     named = cur.where(F.arrays_overlap(X.term_set(X.stem(F.col("path"))), F.array(*[F.lit(t) for t in retrieval.query_terms(s, TASK)])))
     wn = Window.partitionBy("repo_path").orderBy("path")
@@ -122,7 +122,7 @@ def context_bundle(s, d):
 
     final = keyword score + 40 x fused score + 10 x rank, for files of every repository.
     """
-    packed = retrieval.pack(_bundle_scores(s, d).select(F.col("repo_path").alias("group"), F.col("path").alias("id"), "score", "tokens"))
+    packed = retrieval.pack(_bundle_scores(s, d).select(F.col("repo_path").alias("group"), F.col("path").alias("id"), F.round("score", 9).alias("score"), "tokens"))
     return packed.select(F.col("group").alias("repo_path"), F.col("id").alias("path"), "tokens", "taken")
 
 
