@@ -127,12 +127,12 @@ cnt AS (SELECT g, sha FROM nm GROUP BY 1, 2 HAVING count(*) <= 50),
 ok AS (SELECT nm.g, nm.sha, nm.f FROM nm JOIN cnt USING (g, sha)),
 tot AS (SELECT g, count(*) n FROM cnt GROUP BY 1),
 one AS (SELECT g, f, count(*) nk FROM ok GROUP BY 1, 2),
-two AS (SELECT x.g, x.f a, y.f b, count(*) n_ab FROM ok x JOIN ok y ON x.g = y.g AND x.sha = y.sha AND x.f < y.f GROUP BY 1, 2, 3 HAVING count(*) >= 6),
+two AS (SELECT x.g, x.f a, y.f b, count(*) n_ab FROM ok x JOIN ok y ON x.g = y.g AND x.sha = y.sha AND x.f < y.f GROUP BY 1, 2, 3),
 j AS (SELECT two.*, p.nk n_a, q.nk n_b, tot.n FROM two JOIN one p ON p.g = two.g AND p.f = a JOIN one q ON q.g = two.g AND q.f = b JOIN tot ON tot.g = two.g)
 """
 
 ORACLE = {
-    "p5_found": _P5 + "SELECT g AS repo_path, a AS path_a, b AS path_b FROM j WHERE n_ab * n >= 3 * n_a * n_b",
+    "p5_found": _P5 + "SELECT g AS repo_path, a AS path_a, b AS path_b FROM j WHERE n_ab >= 6 AND n_ab * n >= 3 * n_a * n_b",
     "p5_odds": _P5
     + """SELECT g AS repo_path, a AS path_a, b AS path_b, n_ab, n_a, n_b, n, round(n_ab::DOUBLE * n / (n_a * n_b), 6) AS lift,
     round((n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)), 6) AS odds_ratio FROM j""",
