@@ -14,6 +14,13 @@ DOC_SUFFIXES = [".md", ".txt", ".rst"]
 CONFIG_SUFFIXES = ".json .yaml .yml .toml .qrc .cmake .pro .ui".split()
 # Methods that change the object they are called on.
 MUTATING = "append insert push_back clear remove pop emplace_back erase update".split()
+# Folders of files that only accompany code; words that begin an import line; marks that
+# begin a comment line.
+AUX_FOLDERS = "test tests testing eval evals fixture fixtures example examples benchmark benchmarks sample samples".split()
+IMPORT_WORDS = ["import", "from", "#include", "use", "require", "package"]
+COMMENT_MARKS = ["#", "//", "/*", "*"]
+# Operators that change their left side, beside the plain '='.
+CHANGING = ["<<=", ">>=", "+=", "-=", "*=", "/=", "|=", "&=", "^="]
 # Tokens a segment stands for, by kind of text.
 TOKENS_PER_SEGMENT = {"code": 0.74, "markdown": 0.67, "text": 0.77}
 
@@ -78,7 +85,7 @@ def suffix_bucket(path: Column) -> Column:
 
 def is_aux_path(path: Column) -> Column:
     """Tests, evaluations, fixtures, examples, benchmarks and samples."""
-    return path.rlike(r"(^|/)(tests?|testing|evals?|fixtures?|examples?|benchmarks?|samples?)(/|$)") | stem(path).startswith("test_") | stem(path).endswith("_test")
+    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in AUX_FOLDERS])) | stem(path).startswith("test_") | stem(path).endswith("_test")
 
 
 def is_test_path(path: Column) -> Column:
@@ -104,11 +111,13 @@ def lines(content: Column) -> Column:
 
 
 def is_import_line(line: Column) -> Column:
-    return F.ltrim(line).rlike(r"^\s*(import |from |#include |use |require |package )")
+    first = F.regexp_replace(line, r"^\s+", "")
+    return F.exists(F.array(*[F.lit(w + " ") for w in IMPORT_WORDS]), lambda w: F.startswith(first, w))
 
 
 def is_comment_line(line: Column) -> Column:
-    return line.rlike(r"^\s*(#|//|/\*|\*)")
+    first = F.regexp_replace(line, r"^\s+", "")
+    return F.exists(F.array(*[F.lit(m) for m in COMMENT_MARKS]), lambda m: F.startswith(first, m))
 
 
 def without_boilerplate(content: Column) -> Column:
@@ -116,17 +125,11 @@ def without_boilerplate(content: Column) -> Column:
 
 
 def line_access(symbol: str, line: Column) -> Column:
-    """Whether a line writes the symbol or only reads it."""
-    s = r"\b\Q" + symbol + r"\E\b"
-    writes = [
-        s + r"\s*(?:<<=|>>=|\+=|-=|\*=|/=|\|=|&=|\^=)",
-        r"(?:\+\+|--)\s*" + s,
-        s + r"\s*(?:\+\+|--)",
-        s + r"\s*(?:\.\s*(?:" + "|".join(MUTATING) + r")\s*\(|\[[^\]]*\]\s*=(?!=|>))",
-        r"\bdel\s+" + s,
-        s + r"\s*=(?!=|>)",
-    ]
-    hit = F.lit(False)
-    for w in writes:
-        hit = hit | line.rlike(w)
-    return F.when(hit, "write").otherwise("read")
+    """Whether a line writes the symbol or only reads it: it is assigned to, itself or one of its items, is
+    counted up or down, deleted, or asked to change itself by one of its methods."""
+    name = r"\b\Q" + symbol + r"\E\b"
+    plain = r"=(?![=>])"
+    changing = "|".join(r"\Q" + op + r"\E" for op in CHANGING)
+    after = rf"(?:{changing}|\+\+|--|{plain}|\[[^\]]*\]\s*{plain}|\.\s*(?:{'|'.join(MUTATING)})\s*\()"
+    before = r"(?:(?:\+\+|--)\s*|\bdel\s+)"
+    return F.when(line.rlike(rf"{name}\s*{after}") | line.rlike(before + name), "write").otherwise("read")

@@ -30,6 +30,15 @@ def missing_partners(changed: DataFrame, pairs: DataFrame) -> DataFrame:
     return j.join(changed.select("repo_path", "change_id", F.col("path").alias("partner")).distinct(), ["repo_path", "change_id", "partner"], "left_anti")
 
 
+def test_directives(changed: DataFrame, sources: DataFrame) -> DataFrame:
+    """(repo_path, change_id, path, directives): for changed sources, the tests of their name that did not change with them."""
+    p = sources.select("repo_path", "path", X.test_base(F.col("path")).alias("base"), X.is_test_path(F.col("path")).alias("t"))
+    pairs = p.where("NOT t").drop("t").join(p.where("t").select("repo_path", "base", F.col("path").alias("test")), ["repo_path", "base"]).select("repo_path", "path", "test")
+    c = changed.select("repo_path", "change_id", "path").distinct()
+    j = c.join(pairs, ["repo_path", "path"]).join(c.withColumnRenamed("path", "test"), ["repo_path", "change_id", "test"], "left_anti")
+    return j.groupBy("repo_path", "change_id", "path").agg(F.countDistinct("test").alias("directives"))
+
+
 def risk_scores(changed: DataFrame, spots: DataFrame, fan: DataFrame, missing: DataFrame) -> DataFrame:
     """Risk from 0 to 10 of every changed file: changed has repo_path, change_id, path, diff, directives."""
     m = missing.groupBy("repo_path", "change_id", "path").agg(F.max("weight").alias("cochange"))

@@ -58,8 +58,12 @@ _TRIPLE = "\"\"\"(?s:.*?)\"\"(\")|'''(?s:.*?)''(')"
 MASK_PYTHON = f"{_TRIPLE}|#[^\\n]*|{_PLAIN}"
 MASK_OTHER = f"{_TRIPLE}|/\\*(?s:.*?)\\*/|//[^\\n]*|{_PLAIN}|`(?:[^`\\\\]|\\\\.)*(`)"
 # Bindings and handlers of declarative files: a name, a colon and something after it.
-BINDING = r"(?m)^[ \t]*(?:property\b[^:\n]*|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)[ \t]*:[ \t]*[^\s]"
-NO_BINDING = r"(?m)^[ \t]*(?:case|default|else)[ \t]*:[ \t]*[^\s]"
+_NAMED = r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*"
+_FOLLOWED = r"[ \t]*:[ \t]*\S"
+BINDING = rf"(?m)^[ \t]*(?:{_NAMED}|property\b[^:\n]*){_FOLLOWED}"
+# Names before a colon that are labels and no bindings.
+_LABELS = ["case", "default", "else"]
+NO_BINDING = rf"(?m)^[ \t]*(?:{'|'.join(_LABELS)}){_FOLLOWED}"
 
 
 def complexity(sources: DataFrame) -> DataFrame:

@@ -229,3 +229,86 @@ def nearest_labels(vectors: DataFrame, query: DataFrame) -> DataFrame:
     s = j.select("qid", "label", F.struct(cosine(F.col("vector"), F.col("qv")).alias("score"), (-F.col("id")).alias("o")).alias("x"))
     best = s.groupBy("qid", "label").agg(F.max("x").alias("x")).select("qid", "label", (-F.col("x.o")).alias("id"), F.col("x.score").alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
+
+
+_PICKED = "group string, rank int, id string, kind string, path string, taken long"
+
+
+def pack_candidates(items: DataFrame, budget: int = 4000, share: float = 0.4, least: int = 16) -> DataFrame:
+    """(group, rank, id, kind, path, taken): files, spans of their symbols, skeletons and commits that fit a budget.
+
+    ``items`` has group, id, kind ('file', 'symbol' or 'commit'), path, score, tokens, is_code, is_doc, and
+    of files skeleton_tokens (null without one) and spans, an array of (score, id, tokens) of their
+    symbols; symbols have file_id and file_tokens. Visited best first (then by path and id):
+
+    * nothing may take more than ``share`` of the budget where several files or commits score, documents
+      together no more than that where code scores;
+    * a symbol brings its whole file where that fits, else its span; a file none of whose spans was taken
+      comes whole, else by its best spans, else by its skeleton; only files without symbols and
+      commits are cut, and only to more than ``least`` tokens.
+
+    Candidates stream through the task in order; it holds what is selected and one row. Scores that
+    are null or not positive, and items without tokens, are left out; repeated rows count once.
+    """
+    live = items.where("score > 0 AND tokens > 0 AND group IS NOT NULL AND id IS NOT NULL").dropDuplicates(["group", "kind", "id"])
+    facts = live.groupBy("group").agg(F.count_if(F.col("kind") != "symbol").alias("n_whole"), F.max(F.col("is_code")).alias("any_code"))
+    rows = live.join(facts, "group").withColumn("o", -F.col("score")).repartition("group").sortWithinPartitions("group", "o", "path", "id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, state, out = None, {}, []
+        for f in frames:
+            for r in f.itertuples(index=False):
+                if r.group != group:
+                    group = r.group
+                    state = {"left": budget, "docs": 0, "files": set(), "spans": set(), "parted": set(), "n": 0}
+                if state["left"] > 0:
+                    out.extend(_visit(r, state, budget, share, least))
+            yield pd.DataFrame(out, columns=["group", "rank", "id", "kind", "path", "taken"])
+            out = []
+
+    columns = ["group", "id", "kind", "path", "tokens", "is_code", "is_doc", "skeleton_tokens", "spans", "file_id", "file_tokens", "n_whole", "any_code"]
+    return rows.select(*columns).mapInPandas(run, _PICKED)
+
+
+def _visit(r, s: dict, budget: int, share: float, least: int) -> list[tuple]:
+    cap = int(budget * share)
+    allowed = min(s["left"], cap if r.n_whole > 1 else budget)
+
+    def take(i: str, kind: str, n: int) -> tuple:
+        s["left"] -= n
+        s["n"] += 1
+        if kind == "file":
+            s["files"].add(r.path)
+        elif kind == "symbol":
+            s["spans"].add(i)
+            s["parted"].add(r.path)
+        return (r.group, s["n"], i, kind, r.path, n)
+
+    if r.kind == "symbol":
+        if r.path in s["files"] or r.id in s["spans"]:
+            return []
+        if r.path not in s["parted"] and pd.notna(r.file_tokens) and r.file_tokens <= allowed:
+            return [take(r.file_id, "file", int(r.file_tokens))]
+        return [take(r.id, "symbol", int(r.tokens))] if r.tokens <= allowed else []
+    if r.kind == "file" and (r.path in s["files"] or (r.is_code and r.path in s["parted"])):
+        return []
+    if r.is_doc:
+        allowed = min(allowed, (cap if r.any_code else budget) - s["docs"])
+    if r.tokens <= allowed:
+        n = int(r.tokens)
+    elif allowed <= least:
+        return []
+    elif r.kind == "file" and r.is_code and r.spans is not None and len(r.spans):
+        got = []
+        for x in sorted(r.spans, key=lambda x: (-x["score"], x["id"])):
+            if x["id"] not in s["spans"] and 0 < x["tokens"] <= min(allowed, s["left"]):
+                got.append(take(x["id"], "symbol", int(x["tokens"])))
+                allowed -= int(x["tokens"])
+        if not got and pd.notna(r.skeleton_tokens) and 0 < r.skeleton_tokens <= allowed:
+            return [take(r.id, "skeleton", int(r.skeleton_tokens))]
+        return got
+    else:
+        n = int(allowed)
+    if r.is_doc:
+        s["docs"] += n
+    return [take(r.id, r.kind, n)]

@@ -17,6 +17,7 @@ import posixpath
 import re
 import warnings
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -175,6 +176,32 @@ def pattern_rows(path: str, text: str, family: str) -> Iterator[dict]:
         yield from _signals(path, text, code)
 
 
+def _arguments(code: str, at: int) -> list[str]:
+    """Arguments of the call whose bracket was opened before a position; none where it is never closed."""
+    out, depth, start = [], 0, at
+    for i in range(at, len(code)):
+        c = code[i]
+        if c in ")]}":
+            if not depth:
+                return [*out, code[start:i].strip()]
+            depth -= 1
+        elif c in "([{":
+            depth += 1
+        elif c == "," and not depth:
+            out.append(code[start:i].strip())
+            start = i + 1
+    return []
+
+
+def _signal_end(argument: str) -> str | None:
+    """The member an argument of a connection names: '&Class::member' or a macro around 'member(...)'."""
+    member = re.fullmatch(rf"&?((?:{_WORD}::)*)({_WORD})::({_WORD})", argument)
+    if member:
+        return f"{member[2]}::{member[3]}"
+    macro = re.match(rf"(?:SIGNAL|SLOT)\s*\(\s*({_WORD})", argument)
+    return macro[1] if macro else None
+
+
 def _signals(path: str, text: str, code: str) -> Iterator[dict]:
     """Signal and slot sections, emits, connects and registrations of C++ files."""
     here = f"file:{path}"
@@ -185,13 +212,10 @@ def _signals(path: str, text: str, code: str) -> Iterator[dict]:
             yield from _node(path, f"{kind}.{d[1]}", kind, d[1], d[0].strip(), line, line, here)
     for name in dict.fromkeys(re.findall(rf"\b(?:emit|Q_EMIT)\s+({_WORD})\s*\(", code)):
         yield _link(path, here, f"name:{name}", "emits")
-    pairs = re.findall(rf"\bconnect\s*\(\s*[^,]+,\s*&?({_WORD})::({_WORD})\s*,\s*[^,]+,\s*&?({_WORD})::({_WORD})", code)
-    for a, s, b, t in pairs:
-        if (a, s) != (b, t):
-            yield _link(path, f"name:{a}::{s}", f"name:{b}::{t}", "connects")
-    for s, t in re.findall(rf"\bconnect\s*\([^,]+,\s*SIGNAL\(\s*({_WORD})\s*\([^)]*\)\s*\)\s*,[^,]+,\s*(?:SLOT|SIGNAL)\(\s*({_WORD})", text):
-        if s != t:
-            yield _link(path, f"name:{s}", f"name:{t}", "connects", "LOW")
+    for call in re.finditer(r"\bconnect\s*\(", code):
+        ends = [e for e in map(_signal_end, _arguments(code, call.end())) if e]
+        if len(ends) == 2 and ends[0] != ends[1]:
+            yield _link(path, f"name:{ends[0]}", f"name:{ends[1]}", "connects", "EXTRACTED" if "::" in ends[0] + ends[1] else "LOW")
     for name in re.findall(rf"\bqmlRegister\w*Type\s*<\s*(?:\w+::)*({_WORD})\s*>", code):
         yield _link(path, here, f"name:{name}", "registers")
     for t, name in re.findall(rf"\bQ_PROPERTY\s*\(\s*([\w:<>*& ]+?)\s+({_WORD})\b", code):
@@ -230,6 +254,17 @@ def qml_rows(path: str, text: str) -> Iterator[dict]:
         yield _link(path, here, f"module:{m[1] or m[2]}", "imports")
 
 
+def _listed(text: str) -> Iterator[str]:
+    """Names in the file elements of a resource list; none where it is no XML."""
+    try:
+        root = ElementTree.fromstring(text)
+    except (ElementTree.ParseError, ValueError):
+        return
+    for x in root.iter("file"):
+        if x.text and x.text.strip():
+            yield x.text.strip()
+
+
 def build_rows(path: str, text: str) -> Iterator[dict]:
     """What build files, resource lists and module descriptions name."""
     name, folder = path.rsplit("/", 1)[-1].lower(), path.rsplit("/", 1)[0] + "/" if "/" in path else ""
@@ -240,8 +275,8 @@ def build_rows(path: str, text: str) -> Iterator[dict]:
             for f in re.findall(r"[\w./-]+\.\w+", m[3]):
                 yield _link(path, f"target:{m[2]}", f"file:{folder}{f}", "builds", candidates=[folder + f])
     elif name.endswith(".qrc"):
-        for f in re.findall(r"<file[^>]*>([^<]+)</file>", text):
-            yield _link(path, f"file:{path}", f"file:{folder}{f.strip()}", "registers", candidates=[folder + f.strip()])
+        for f in _listed(text):
+            yield _link(path, f"file:{path}", f"file:{folder}{f}", "registers", candidates=[folder + f])
     elif name == "qmldir" or name.endswith(".qmldir"):
         uri = (re.search(r"^module\s+(\S+)", text, re.M) or [None, ""])[1]
         for t, v, f in re.findall(r"^(?:singleton\s+)?([A-Z]\w*)\s+(\d+\.\d+)\s+(\S+)", text, re.M):

@@ -9,8 +9,8 @@ from loomspark.functions import text as X
 from loomspark.operators import answers, code_text, governance, graphs, history, retrieval, scans
 from loomspark.plans.graph import _DEG, _E, _N, _TP, _edges, _nodes
 from loomspark.plans.repository import _CPLX, _CUR, _FILES, _LINES, _SUF, _TOK, _commits, _slim, _sources
-from loomspark.plans.search import _KW, _Q, _SETS, ORACLE as SEARCH, SYMBOL, TASK, WORDS, _tok
-from loomspark.session import table
+from loomspark.plans.search import _KW, _Q, _SETS, ORACLE as SEARCH, SYMBOL, TASK, WORDS, _bundle_scores, _tok
+from loomspark.session import materialize, table
 
 HINTED = "Where does the python scanner mask a stale lease of the ledger?"
 SYNONYMS = {"ledger": ["journal", "audit log"], "stale lease": ["expired"]}
@@ -157,7 +157,41 @@ def best_labels(s, d):
     return retrieval.nearest_labels(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), q).select("qid", "label", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in [edge_origins, relations_in, relations_out, context_neighbours, why_chosen, why_terms, target_status, reference_union, dead_code_lines, numbered_bodies, skeletons, chunk_texts, near_markers, python_exposure, qualified_names, note_names, parsed_locations, identifier_queries, content_search, tuned_ranking, best_file_symbols, best_labels]}
+def span_bundle(s, d):
+    """Files, spans of symbols, skeletons and commits that 4000 tokens hold, for every repository."""
+    src = materialize(_sources(s, d))
+    terms = retrieval.query_terms(s, TASK)
+    q = F.array(*[F.lit(t) for t in terms])
+    idf = materialize(retrieval.task_idf(src.select("repo_path", "path", X.term_set(F.col("content")).alias("terms")), ["path"], terms))
+    weigh = lambda rows, key: rows.select("repo_path", key, F.explode(F.array_intersect("terms", q)).alias("term")).join(idf, ["repo_path", "term"]).groupBy("repo_path", key).agg((10 * F.sum("idf")).alias("words"))
+    files = materialize(_bundle_scores(s, d).select("repo_path", "path", "score", "tokens"))
+    bodies = spans_of(s, d, src)
+    named = F.when(F.arrays_overlap(X.term_set(F.col("label")), q), 100.0).otherwise(0.0)
+    hit = bodies.join(weigh(bodies, "node_id"), ["repo_path", "node_id"], "left").withColumn("own", named + F.coalesce("words", F.lit(0.0))).where("own > 0")
+    hit = hit.join(files.select("repo_path", "path", F.col("score").alias("file_score"), F.col("tokens").alias("file_tokens")), ["repo_path", "path"])
+    hit = materialize(hit.select("repo_path", "path", "node_id", F.round(F.col("own") + 0.25 * F.col("file_score"), 9).alias("score"), "tokens", "file_tokens"))
+    code = X.classify_path(F.col("path")) == "code"
+    spans = hit.groupBy("repo_path", "path").agg(F.collect_list(F.struct("score", F.col("node_id").alias("id"), "tokens")).alias("spans"))
+    bones = code_text.skeletons(_nodes(s, d), src).select("repo_path", "path", X.token_estimate(F.col("skeleton"), F.lit("code")).alias("skeleton_tokens"))
+    f = files.join(spans, ["repo_path", "path"], "left").join(bones, ["repo_path", "path"], "left")
+    none = F.lit(None).cast("long")
+    of_file = f.select(F.col("repo_path").alias("group"), F.col("path").alias("id"), F.lit("file").alias("kind"), "path", F.round("score", 9).alias("score"), "tokens", code.alias("is_code"), (X.classify_path(F.col("path")) == "markdown").alias("is_doc"), "skeleton_tokens", "spans", F.lit(None).cast("string").alias("file_id"), none.alias("file_tokens"))
+    of_symbol = hit.select(F.col("repo_path").alias("group"), F.col("node_id").alias("id"), F.lit("symbol").alias("kind"), "path", "score", "tokens", code.alias("is_code"), F.lit(False).alias("is_doc"), none.alias("skeleton_tokens"), F.lit(None).cast("array<struct<score:double,id:string,tokens:bigint>>").alias("spans"), F.col("path").alias("file_id"), "file_tokens")
+    c = scans.latest(table(s, d, "commits", "repo_path", "sha", "authored_at", "summary"), ["repo_path", "sha"], ["authored_at"]).withColumn("terms", X.term_set(F.coalesce("summary", F.lit(""))))
+    c = c.join(weigh(c, "sha"), ["repo_path", "sha"])
+    of_commit = c.select(F.col("repo_path").alias("group"), F.col("sha").alias("id"), F.lit("commit").alias("kind"), F.lit("").alias("path"), F.round("words", 9).alias("score"), X.token_estimate(F.coalesce("summary", F.lit("")), F.lit("text")).alias("tokens"), F.lit(False).alias("is_code"), F.lit(False).alias("is_doc"), none.alias("skeleton_tokens"), F.lit(None).cast("array<struct<score:double,id:string,tokens:bigint>>").alias("spans"), F.lit(None).cast("string").alias("file_id"), none.alias("file_tokens"))
+    p = retrieval.pack_candidates(of_file.unionByName(of_symbol).unionByName(of_commit))
+    return p.select(F.col("group").alias("repo_path"), F.col("rank").cast("long").alias("rank"), "id", "kind", "path", "taken")
+
+
+def spans_of(s, d, src):
+    """Symbols with the terms and tokens of their bodies."""
+    j = code_text.spanned(_nodes(s, d)).join(code_text.file_lines(src), ["repo_path", "path"])
+    body = F.array_join(F.slice("ls", F.col("span_start"), F.col("span_end") - F.col("span_start") + 1), "\n")
+    return j.withColumn("body", body).select("repo_path", "path", "node_id", "label", X.term_set(F.col("body")).alias("terms"), X.token_estimate(F.col("body"), F.lit("code")).alias("tokens"))
+
+
+QUERIES = {f.__name__: f for f in [edge_origins, relations_in, relations_out, context_neighbours, why_chosen, why_terms, target_status, reference_union, dead_code_lines, numbered_bodies, skeletons, chunk_texts, near_markers, python_exposure, qualified_names, note_names, parsed_locations, identifier_queries, content_search, tuned_ranking, best_file_symbols, best_labels, span_bundle]}
 
 _SHOW = lambda a, end: f"coalesce({a}.label || ' @ ' || {a}.source_ref || coalesce(':' || {a}.span_start, ''), CASE WHEN {end} LIKE 'symbol:%' THEN list_last(string_split({end}, ':')) ELSE regexp_replace({end}, '^(name|file|module):', '') END)"
 _EST = lambda c: f"greatest(1, round_even(len(regexp_extract_all({c}, '[A-Za-z0-9_]+|[^\\p{{L}}\\p{{N}}_\\s]|\\s+')) * 0.77, 0))::BIGINT"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as X
-from loomspark.operators import governance, graphs, history, scans, structure
+from loomspark.operators import governance, graphs, history, resolution, scans, structure
 from loomspark.session import materialize, table
 
 
@@ -63,11 +63,10 @@ def tightest_containers(s, d):
 
 
 def unique_import_targets(s, d):
-    """Import targets matched to the one file of that base name, if there is exactly one."""
-    files = _nodes(s, d).where("kind = 'file'").select("repo_path", X.stem(F.col("source_ref")).alias("base"), F.col("source_ref").alias("path")).distinct()
-    one = files.groupBy("repo_path", "base").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1")
-    t = _edges(s, d).where("relation = 'imports' AND target LIKE 'module:%'").select("repo_path", "edge_id", F.element_at(F.split(F.expr("substring(target, 8)"), "\\."), -1).alias("base"))
-    return t.join(one, ["repo_path", "base"]).select("repo_path", "edge_id", "path")
+    """Import targets: the file of that path, else the only one of that base name, else none."""
+    i = _edges(s, d).where("relation = 'imports'").select("repo_path", "edge_id", F.regexp_replace("target", "^[a-z]+:", "").alias("wanted"))
+    files = _nodes(s, d).where("kind = 'file'").select("repo_path", F.col("source_ref").alias("path"))
+    return resolution.import_targets(i, files)
 
 
 def neighbour_bonus(s, d):
@@ -133,11 +132,13 @@ def missing_partners(s, d):
 
 
 def change_risk(s, d):
-    """Risk of every file of every commit; a commit's size stands for the diff."""
-    ch = _changed(s, d)
+    """Risk of every file of every commit: its size stands for the diff, tests that go with a changed file and
+    were not changed are directives."""
+    ch = materialize(_changed(s, d))
     size = ch.groupBy("repo_path", "change_id").agg(F.count("*").alias("diff"))
-    ch2 = ch.join(size, ["repo_path", "change_id"]).withColumn("directives", F.lit(0))
     src = scans.current_sources(table(s, d, "sources", "repo_path", "path", "modified_at", "content"))
+    asked = governance.test_directives(ch, src.select("repo_path", "path"))
+    ch2 = ch.join(size, ["repo_path", "change_id"]).join(asked, ["repo_path", "change_id", "path"], "left").fillna(0, ["directives"])
     r = governance.risk_scores(ch2, history.hotspots(src, _commits(s, d)), graphs.fan_in(_nodes(s, d), _edges(s, d)), governance.missing_partners(ch, history.cochange(_commits(s, d))))
     return r.groupBy("repo_path", "path").agg(F.max("risk").alias("risk"), F.count("*").alias("n_changes"))
 
@@ -226,9 +227,9 @@ WHERE e.relation = 'imports' AND (e.source ILIKE '%lease%' OR e.target ILIKE '%l
     "tightest_containers": f"""WITH {_N}, s AS (SELECT * FROM n WHERE span_start IS NOT NULL AND span_end IS NOT NULL AND granularity = 'symbol')
 SELECT repo_path, node_id, o_id AS container FROM (SELECT s.repo_path, s.node_id, o.node_id AS o_id, row_number() OVER (PARTITION BY s.repo_path, s.node_id ORDER BY o.span_end - o.span_start, o.node_id) rn FROM s JOIN s o ON o.repo_path = s.repo_path AND o.source_ref = s.source_ref
 AND o.node_id <> s.node_id AND o.span_start <= s.span_start AND s.span_end <= o.span_end AND NOT (o.span_start = s.span_start AND o.span_end = s.span_end)) WHERE rn = 1""",
-    "unique_import_targets": f"""WITH {_N}, {_E}, fl AS (SELECT DISTINCT repo_path, {_STEM.replace('path', 'source_ref')} AS base, source_ref AS path FROM n WHERE kind = 'file'),
-one AS (SELECT repo_path, base, min(path) AS path FROM fl GROUP BY 1, 2 HAVING count(*) = 1)
-SELECT e.repo_path, e.edge_id, one.path FROM e JOIN one ON one.repo_path = e.repo_path AND one.base = list_last(string_split(substr(e.target, 8), '.')) WHERE e.relation = 'imports' AND e.target LIKE 'module:%'""",
+    "unique_import_targets": f"""WITH {_N}, {_E}, fl AS (SELECT DISTINCT repo_path, source_ref AS path, list_last(string_split(source_ref, '/')) AS base FROM n WHERE kind = 'file' AND source_ref IS NOT NULL),
+one AS (SELECT repo_path, base, min(path) AS path FROM fl GROUP BY 1, 2 HAVING count(*) = 1), i AS (SELECT DISTINCT repo_path, edge_id, regexp_replace(target, '^[a-z]+:', '') AS w FROM e WHERE relation = 'imports')
+SELECT i.repo_path, i.edge_id, coalesce(x.path, one.path) AS path FROM i LEFT JOIN fl x ON x.repo_path = i.repo_path AND x.path = i.w LEFT JOIN one ON one.repo_path = i.repo_path AND one.base = list_last(string_split(i.w, '/'))""",
     "neighbour_bonus": f"""WITH {_N}, {_E}, l AS (SELECT repo_path, source a, target b, coalesce(weight, 0) w FROM e UNION ALL SELECT repo_path, target, source, coalesce(weight, 0) FROM e),
 s AS (SELECT DISTINCT repo_path, node_id FROM n WHERE kind = 'class' AND label LIKE '%Lease%'),
 o AS (SELECT l.repo_path, l.b AS node_id, max(l.w) * 5 AS bonus FROM l JOIN s ON s.repo_path = l.repo_path AND s.node_id = l.a WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.repo_path = l.repo_path AND z.node_id = l.b) GROUP BY 1, 2),
@@ -253,8 +254,10 @@ hs AS (SELECT cx.repo_path, cx.path, coalesce(churn, 0) * complexity AS score FR
 sz AS (SELECT repo_path, sha, count(*) AS diff FROM f GROUP BY 1, 2),
 b2 AS (SELECT repo_path, a AS path, b AS partner, weight FROM co WHERE weight > 0.5 UNION ALL SELECT repo_path, b, a, weight FROM co WHERE weight > 0.5),
 ms AS (SELECT f.repo_path, f.sha, f.path, max(b2.weight) AS cw FROM f JOIN b2 ON b2.repo_path = f.repo_path AND b2.path = f.path WHERE NOT EXISTS (SELECT 1 FROM f z WHERE z.repo_path = f.repo_path AND z.sha = f.sha AND z.path = b2.partner) GROUP BY 1, 2, 3),
-rk AS (SELECT f.repo_path, f.path, round(10 * (0.0 + 0.30 * least(1.0, sz.diff / 100.0) + 0.20 * least(1.0, coalesce(hs.score, 0) / 1000.0) + 0.15 * least(1.0, coalesce(fi.fan_in, 0) / 10.0) + 0.15 * coalesce(ms.cw, 0)), 2) AS risk
-  FROM f JOIN sz ON sz.repo_path = f.repo_path AND sz.sha = f.sha LEFT JOIN hs ON hs.repo_path = f.repo_path AND hs.path = f.path LEFT JOIN fi ON fi.repo_path = f.repo_path AND fi.path = f.path LEFT JOIN ms ON ms.repo_path = f.repo_path AND ms.sha = f.sha AND ms.path = f.path)
+tp AS (SELECT repo_path, path, {_BASE} AS base, {_TP('path')} AS t FROM cur), dr AS (SELECT f.repo_path, f.sha, f.path, count(DISTINCT b.path) AS dn FROM f JOIN tp a ON a.repo_path = f.repo_path AND a.path = f.path AND NOT a.t JOIN tp b ON b.repo_path = a.repo_path AND b.base = a.base AND b.t
+  WHERE NOT EXISTS (SELECT 1 FROM f z WHERE z.repo_path = f.repo_path AND z.sha = f.sha AND z.path = b.path) GROUP BY 1, 2, 3),
+rk AS (SELECT f.repo_path, f.path, round(10 * (0.0 + 0.20 * least(1.0, coalesce(dr.dn, 0) / 3.0) + 0.30 * least(1.0, sz.diff / 100.0) + 0.20 * least(1.0, coalesce(hs.score, 0) / 1000.0) + 0.15 * least(1.0, coalesce(fi.fan_in, 0) / 10.0) + 0.15 * coalesce(ms.cw, 0)), 2) AS risk
+  FROM f JOIN sz ON sz.repo_path = f.repo_path AND sz.sha = f.sha LEFT JOIN hs ON hs.repo_path = f.repo_path AND hs.path = f.path LEFT JOIN fi ON fi.repo_path = f.repo_path AND fi.path = f.path LEFT JOIN ms ON ms.repo_path = f.repo_path AND ms.sha = f.sha AND ms.path = f.path LEFT JOIN dr ON dr.repo_path = f.repo_path AND dr.sha = f.sha AND dr.path = f.path)
 SELECT repo_path, path, max(risk) AS risk, count(*) AS n_changes FROM rk GROUP BY 1, 2""",
     "resolved_calls": f"""WITH {_N}, {_E}, u AS (SELECT repo_path, label, min(node_id) AS target_id FROM n WHERE granularity = 'symbol' GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT e.repo_path, e.edge_id, e.source, u.target_id FROM e JOIN u ON u.repo_path = e.repo_path AND u.label = substr(e.target, 6) WHERE e.relation = 'calls' AND e.target LIKE 'name:%' AND e.source <> u.target_id""",

@@ -169,7 +169,7 @@ _KIND = f"CASE WHEN {_SUF} = '.md' THEN 'markdown' WHEN lower({_SUF}) IN ('.py',
 _BOIL = f"array_to_string(list_filter({_LINES}, lambda x: NOT regexp_matches(x, '^\\s*(import |from |#include |use |require |package )') AND NOT regexp_matches(x, '^\\s*(#|//|/\\*|\\*)')), chr(10))"
 _SETS = f"""ts AS (SELECT repo_path, path, modified_at, list_distinct({_tok(f"CASE WHEN ({_KIND}) = 'code' THEN {_BOIL} ELSE content END")}) AS terms FROM cur), q AS (SELECT unnest({_Q}) AS term),
 idf AS (SELECT ts.repo_path, q.term, ln((count(*) + 1) / greatest(1, sum(CASE WHEN list_contains(terms, q.term) THEN 1 ELSE 0 END))) AS idf FROM ts, q GROUP BY 1, 2)"""
-_AUX = f"(regexp_matches(path, '(^|/)(tests?|testing|evals?|fixtures?|examples?|benchmarks?|samples?)(/|$)') OR starts_with({_STEM}, 'test_') OR ends_with({_STEM}, '_test'))"
+_AUX = f"(list_has_any(string_split(path, '/'), {X.AUX_FOLDERS}) OR starts_with({_STEM}, 'test_') OR ends_with({_STEM}, '_test'))"
 _FOLDER = "CASE WHEN contains(path, '/') THEN replace(regexp_replace(path, '/[^/]*$', ''), '/', ' ') ELSE '' END"
 _KW = f"""kw AS (SELECT ts.repo_path, ts.path, coalesce(sum(CASE WHEN list_contains(terms, idf.term) THEN idf.idf ELSE 0 END), 0) * 10 AS keyword FROM ts JOIN idf ON idf.repo_path = ts.repo_path GROUP BY 1, 2),
 nw AS (SELECT repo_path, max(floor(modified_at)) AS newest FROM cur GROUP BY 1),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -44,10 +45,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/loomspark-{spark.sparkContext.applicationId}"
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables this application has materialised; frames read from them end here."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    try:
+        if spark._jsc is not None and not spark._jsc.sc().isStopped():
+            release(spark)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
+
+
+_watched: set[str] = set()
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends here and survives lost executors."""
+    """Write a frame to the shared folder and read it back: lineage ends here and survives lost executors.
+
+    The tables lie in a folder of the application, which is deleted when the driver ends, or by ``release``.
+    """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _watched:
+        _watched.add(app)
+        atexit.register(_release_at_exit, spark)
+    at = f"{_tables(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
