@@ -3,16 +3,23 @@ substitutions that bring a token sequence into a grammar's language.
 
 Grammars are written in a small EBNF (``rule = alt | alt``; ``( )``, ``?``, ``*``, ``+``; quoted
 terminals; ALL-CAPS token classes; ``P:x``, ``S:x``, ``B:x`` for a bracket group whose content is
-parsed as ``x``). The chart is Earley's with a cost on every item; matching a group costs what the
-repair of its content costs. A first pass without repairs settles valid sequences; only others are
-parsed with growing repair budgets.
+parsed as ``x``). The chart is Earley's with a cost on every item; a group is one token, and matching
+it costs what the repair of its content costs, two edits at most: a new group in its place. A first
+pass without repairs settles valid sequences. Others are parsed cheapest first (Knuth's generalisation
+of shortest paths, A*): by the cost of all before an item's end and a lower bound of what comes after,
+so the first parse of the whole sequence is a minimum, whatever the length or the number of edits. The
+bound is the cost of bringing the other tokens into a regular language that holds the grammar's: rules
+may return to any place that calls them.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
+import numpy as np
+
 _EBNF = re.compile(r"'[^']+'|[A-Z]:[a-z_]+|[A-Z][A-Z0-9_]*|[a-z_][a-z_0-9]*|[=|()?*+;]")
 
 
@@ -115,48 +122,138 @@ class Grammar:
         return kind in self.classes[terminal]
 
 
+class Paths:
+    """Lower bounds of costs: a rule's language where rules may return to any place that calls them."""
+
+    #: More than any cost.
+    FAR = 1 << 30
+
+    def __init__(self, g: Grammar, start: str, after: list[str | None], name: list[str], starts: dict[str, list[int]]):
+        reached, work, items = {start}, [start], []
+        back: dict[str, list[int]] = {}  # name -> dotted rules after a call of it
+        while work:
+            for d in starts[work.pop()]:
+                items.append(d)
+                while (s := after[d]) is not None:
+                    if s in g.rules:
+                        back.setdefault(s, []).append(d + 1)
+                        if s not in reached:
+                            reached.add(s)
+                            work.append(s)
+                    d += 1
+                    items.append(d)
+        # places before a terminal, as bits, that a dotted rule comes to without a token; 1: the end
+        bit = {d: 2 << n for n, d in enumerate(x for x in items if after[x] is not None and after[x] not in g.rules)}
+        reach = {d: bit.get(d, 0) for d in items}
+        call, ret = dict.fromkeys(reached, 0), dict.fromkeys(reached, 0)
+        ret[start] = 1
+        grew = True
+        while grew:
+            grew = False
+            for d in items:
+                if d not in bit:
+                    s = after[d]
+                    x = ret[name[d]] if s is None else call[s]
+                    if x != reach[d]:
+                        reach[d], grew = x, True
+            for s in reached:
+                x, y = call[s], ret[s]
+                for d in starts[s]:
+                    x |= reach[d]
+                for d in back.get(s, ()):
+                    y |= reach[d]
+                if x != call[s] or y != ret[s]:
+                    call[s], ret[s], grew = x, y, True
+        # places with the same terminal before the same places are one
+        kinds: dict[tuple, int] = {}
+        place = {d: kinds.setdefault((after[d], reach[d + 1]), len(kinds)) for d in bit}
+        self.terminals = [t for t, _ in kinds]
+        of = {b: place[d] for d, b in bit.items()}
+        self.follow = self._table([x for _, x in kinds], of)
+        rows: dict[int, int] = {}
+        self.row = [0] * len(after)
+        for d in items:
+            self.row[d] = rows.setdefault(reach[d], len(rows))
+        self.first, self.last = rows.setdefault(call[start], len(rows)), rows.setdefault(ret[start], len(rows))
+        self.sets = self._table(list(rows), of)
+        self.misses: dict[str, tuple[dict[str, int], np.ndarray]] = {}
+
+    def _table(self, sets: list[int], of: dict[int, int]) -> np.ndarray:
+        t = np.zeros((len(sets), len(self.terminals) + 1), dtype=bool)
+        for n, x in enumerate(sets):
+            t[n, -1] = x & 1
+            x &= ~1
+            while x:
+                low = x & -x
+                t[n, of[low]] = True
+                x ^= low
+        return t
+
+    def bounds(self, missing: list[np.ndarray]) -> list[list[int]]:
+        """By position, then by row: the least cost of the tokens from there on; ``missing`` tells by
+        position which terminals the token there is not."""
+        n, far, size = len(missing), self.FAR, len(self.terminals)
+        out: list[list[int]] = [[]] * (n + 1)
+        base = np.full(size + 1, far, dtype=np.int64)
+        for p in range(n, -1, -1):
+            if p < n:
+                base[:size] = np.minimum(missing[p] + after, 1 + least[:size])
+            base[size] = n - p  # all tokens too many
+            least = base.copy()
+            while True:
+                after = np.where(self.follow, least, far).min(axis=1)
+                better = np.minimum(base[:size], after + 1)
+                if (better == least[:size]).all():
+                    break
+                least[:size] = better
+            out[p] = np.where(self.sets, least, far).min(axis=1).tolist()
+        return out
+
+
 class Chart:
     """Parses sequences of token kinds. A bracket group's kind is '#' + bracket + number; ``inside``
     gives the repair cost of a group's content under a content rule."""
 
-    #: Largest repair budget tried, less for longer sequences; beyond it the cost is the sequence's deletion.
-    MOST = 3
-
-    def __init__(self, grammar: Grammar, inside: Callable[[str, str], int]):
+    def __init__(self, grammar: Grammar, inside: Callable[[str, str], int], fits: Callable[[str, str], bool] | None = None):
         self.g, self.inside = grammar, inside
+        self.fits = fits or (lambda kind, rule: inside(kind, rule) == 0)
         self.memo: dict[tuple, int] = {}
-        #: Keys whose cost is a bound, and whether a bound has gone into the costs asked for lately.
-        self.bounds: set[tuple] = set()
-        self.touched = False
+        #: Dotted rules by number: the symbol after the dot, the rule's name.
+        self.after: list[str | None] = []
+        self.name: list[str] = []
+        self.starts: dict[str, list[int]] = {}
+        for name, body in grammar.flat:
+            self.starts.setdefault(name, []).append(self._dotted(name, body))
+        self.paths: dict[str, tuple[int, Paths]] = {}
+        self.shortest = dict.fromkeys(grammar.rules, Paths.FAR)
+        grew = True
+        while grew:
+            grew = False
+            for name, body in grammar.flat:
+                least = sum([self.shortest.get(x, 1) for x in body])
+                if least < self.shortest[name]:
+                    self.shortest[name], grew = least, True
 
-    def cost(self, start: str, kinds: tuple[str, ...]) -> int:
-        key = (start, kinds)
+    def _dotted(self, name: str, body: tuple) -> int:
+        at = len(self.after)
+        self.after += [*body, None]
+        self.name += [name] * (len(body) + 1)
+        return at
+
+    def cost(self, start: str, kinds: tuple[str, ...], cap: int | None = None) -> int:
+        """Least number of edits; where it is ``cap`` or more, ``cap``."""
+        key = (start, kinds, cap)
         c = self.memo.get(key)
         if c is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
-                self.bounds.clear()
-            outer, self.touched = self.touched, False
-            c = self.memo[key] = self._cost(start, kinds)
-            if self.touched:
-                self.bounds.add(key)
-            self.touched |= outer
-        elif key in self.bounds:
-            self.touched = True
+                self.paths.clear()
+            c = self.memo[key] = 0 if self._exact(start, kinds) else self._repair(start, kinds, cap)
         return c
 
-    def _cost(self, start: str, kinds: tuple[str, ...]) -> int:
-        if self._exact(start, kinds):
-            self.touched = False
-            return 0
-        self.touched = False  # whether it is exact leaves no bounds
-        most = self.MOST if len(kinds) <= 12 else self.MOST - 1 if len(kinds) <= 24 else self.MOST - 2 if len(kinds) <= 60 else 0
-        for budget in range(1, most + 1):
-            c = self._repair(start, kinds, budget)
-            if c is not None:
-                return c
-        self.touched = True
-        return max(most + 1, len(kinds))
+    def _misses(self, terminal: str, kind: str) -> int:
+        """1 if a token is not what a terminal stands for, or is a group that its rule does not fit."""
+        return 0 if self.g.match(terminal, kind) and (terminal[1:2] != ":" or terminal[0] == "'" or self.fits(kind, terminal[2:])) else 1
 
     def _exact(self, start: str, kinds: tuple[str, ...]) -> bool:
         g, flat, n = self.g, self.g.flat, len(kinds)
@@ -200,64 +297,132 @@ class Chart:
                         if nxt not in here:
                             here.add(nxt)
                             work.append(nxt)
-                elif i < n and g.match(s, kind) and (s[1:2] != ":" or s[0] == "'" or self.inside(kind, s[2:]) == 0):
+                elif i < n and g.match(s, kind) and (s[1:2] != ":" or s[0] == "'" or self.fits(kind, s[2:])):
                     sets[i + 1].add((r, dot + 1, origin))
             if i < n and not sets[i + 1]:
                 return False
         return any(r in goal and o == 0 and d == len(flat[r][1]) for r, d, o in sets[n]) or (n == 0 and start in g.nullable)
 
-    def _repair(self, start: str, kinds: tuple[str, ...], budget: int) -> int | None:
-        """Least repair cost within a budget. An item's cost covers its own span; costs relax until
-        nothing gets cheaper, position by position."""
-        g, flat, n = self.g, self.g.flat, len(kinds)
-        sets: list[dict] = [{} for _ in range(n + 1)]
-        waits: list[dict] = [{} for _ in range(n + 1)]
-        for r in g.by_name[start]:
-            sets[0][(r, 0, 0)] = 0
-        for i in range(n + 1):
-            here, wait = sets[i], waits[i]
-            kind = kinds[i] if i < n else ""
-            end: dict[tuple, int] = {}  # (name, origin) -> least cost of a constituent that ends here
-            work, handled = list(here), {}
+    def _repair(self, start: str, kinds: tuple[str, ...], cap: int | None = None) -> int:
+        """Least repair cost, ``cap`` at most.
 
-            def put(item: tuple, c: int, here=here, work=work) -> None:
-                if c <= budget and here.get(item, budget + 1) > c:
-                    here[item] = c
-                    work.append(item)
+        Items are (position, dotted rule, origin), taken in the order of the least cost of everything up
+        to their position and the bound of the rest, which never falls from one item to the next. Origins
+        of one position, rule and cost are the bits of one number and go on together. Superfluous tokens
+        are dropped right after a token that stays, a group or nothing: after an inserted or replaced
+        token the edits can change places. Rules after which tokens have just been dropped have numbers
+        of their own.
+        """
+        after, name, starts = self.after, self.name, self.starts
+        g, n = self.g, len(kinds)
+        if start not in self.paths:
+            goal = self._dotted("", (start,))
+            paths = Paths(g, start, after, name, starts)
+            paths.row[goal : goal + 2] = paths.first, paths.last
+            self.paths[start] = goal, paths
+        goal, paths = self.paths[start]
+        if len(paths.misses) > 5_000:
+            paths.misses.clear()
+        for k in kinds:
+            if k not in paths.misses:
+                m = {t: self._misses(t, k) for t in dict.fromkeys(paths.terminals)}
+                paths.misses[k] = m, np.array([m[t] for t in paths.terminals], dtype=np.int64)
+        missing = [paths.misses[k][0] for k in kinds]
+        bounds = paths.bounds([paths.misses[k][1] for k in kinds])
+        row, size = paths.row, len(after)
+        # all tokens can be dropped and the shortest sequence inserted
+        top = n + self.shortest[start] + 1 if cap is None else cap
+        shelves: list[dict[int, int]] = [{} for _ in range(top)]  # origins by cost and bound, then by position and rule
+        done: list[dict[int, int]] = [{} for _ in range(n + 1)]  # origins by rule
+        waits: list[dict] = [{} for _ in range(n + 1)]  # name -> what waits for it: cost over the least and rule -> origins
+        least: list[dict[str, int]] = [{} for _ in range(n + 1)]  # name -> least cost of what waits for it
+        ends: list[dict] = [{} for _ in range(n + 1)]  # name -> lengths (as bits) and, by length, least costs of constituents from here
+        code = "H" if top < 1 << 16 else "L"
+        later: list[tuple] = []  # items that ask for the cost of a group's content, when all others of their cost are done
 
-            while work:
-                item = work.pop()
-                c = here[item]
-                if handled.get(item, budget + 1) <= c:
+        def put(i: int, d: int, origins: int, cost: int) -> None:
+            x = cost + bounds[i][row[d if d < size else d - size]]
+            if x < top and (origins := origins & ~done[i].get(d, 0)):
+                shelf, key = shelves[x], i * 2 * size + d
+                shelf[key] = shelf.get(key, 0) | origins
+
+        put(0, goal, 1, 0)
+        if n:
+            put(1, goal + size, 1, 1)
+        for at, shelf in enumerate(shelves):
+            while shelf or later:
+                if not shelf:
+                    i, d, origins, cost = later.pop()
+                    m = min(2, self.inside(kinds[i], after[d][2:]))
+                    put(i + 1, d + 1, origins, cost + m)
+                    if i + 1 < n:
+                        put(i + 2, d + 1 + size, origins, cost + m + 1)
                     continue
-                handled[item] = c
-                r, dot, origin = item
-                name, body = flat[r]
-                if dot == len(body):
-                    if end.get((name, origin), budget + 1) > c:
-                        end[name, origin] = c
-                        for w in list(waits[origin].get(name, ())):
-                            put((w[0], w[1] + 1, w[2]), sets[origin][w] + c)
+                key, origins = shelf.popitem()
+                i, d = divmod(key, 2 * size)
+                old = done[i].get(d, 0)
+                origins &= ~old
+                if not origins:
                     continue
-                s, nxt = body[dot], (r, dot + 1, origin)
-                if s in g.rules:
-                    w = wait.setdefault(s, set())
-                    if not w:
-                        for q in g.by_name[s]:
-                            put((q, 0, i), 0)
-                    w.add(item)
-                    if (got := end.get((s, i))) is not None:
-                        put(nxt, c + got)
+                done[i][d] = old | origins
+                if d >= size:
+                    d -= size
+                    cost = at - bounds[i][row[d]]
+                    put(i, d, origins, cost)
+                    if i < n:
+                        put(i + 1, d + size, origins, cost + 1)
                     continue
-                put(nxt, c + 1)  # a missing token
-                if i < n:
-                    after = sets[i + 1]
-                    m = 1  # another token in its place
-                    if g.match(s, kind):
-                        m = self.inside(kind, s[2:]) if s[1:2] == ":" and s[0] != "'" else 0
-                    if c + m <= budget and after.get(nxt, budget + 1) > c + m:
-                        after[nxt] = c + m
-                    if c + 1 <= budget and after.get(item, budget + 1) > c + 1:
-                        after[item] = c + 1  # a token too many
-        best = [c for (r, d, o), c in sets[n].items() if o == 0 and flat[r][0] == start and d == len(flat[r][1])]
-        return min(best) if best else None
+                cost = at - bounds[i][row[d]]
+                s = after[d]
+                if s is None:
+                    if d == goal + 1:
+                        if i == n:
+                            return cost
+                        continue
+                    x = name[d]
+                    on: dict[int, int] = {}
+                    while origins:
+                        low = origins & -origins
+                        origins ^= low
+                        k = low.bit_length() - 1
+                        closed = ends[k].get(x)
+                        if closed is None:
+                            closed = ends[k][x] = [0, array(code)]
+                        if not closed[0] >> (i - k) & 1:
+                            closed[0] |= 1 << (i - k)
+                            if len(closed[1]) <= i - k:
+                                closed[1].frombytes(bytes(closed[1].itemsize * (i - k + 1 - len(closed[1]))))
+                            closed[1][i - k] = cost - least[k][x]
+                            for to, origins_ in waits[k][x].items():
+                                on[to] = on.get(to, 0) | origins_
+                    for to, origins_ in on.items():
+                        more, d_ = divmod(to, size)
+                        put(i, d_, origins_, cost + more)
+                elif s in starts:
+                    base = least[i].get(s)
+                    if base is None:
+                        base = least[i][s] = cost
+                        waits[i][s] = {}
+                        for q in starts[s]:
+                            put(i, q, 1 << i, cost)
+                    waiting, to = waits[i][s], (cost - base) * size + d + 1
+                    waiting[to] = waiting.get(to, 0) | origins
+                    if (found := ends[i].get(s)) is not None:
+                        lengths, costs = found
+                        while lengths:
+                            low = lengths & -lengths
+                            lengths ^= low
+                            j = low.bit_length() - 1
+                            put(i + j, d + 1, origins, cost + costs[j])
+                else:
+                    put(i, d + 1, origins, cost + 1)  # a missing token
+                    if i < n:
+                        m = missing[i][s]  # 1: another token in its place
+                        group = s[1:2] == ":" and s[0] != "'"
+                        if m and group and g.match(s, kinds[i]):
+                            later.append((i, d, origins, cost))
+                            continue
+                        put(i + 1, d + 1, origins, cost + m)
+                        if i + 1 < n and (group or not m):
+                            put(i + 2, d + 1 + size, origins, cost + m + 1)  # a token too many
+        return top

@@ -7,8 +7,8 @@ from loomspark.llm.code.grammars import COMMA, FAMILY, STATEMENTS, UNIT, grammar
 from loomspark.llm.code.tree import Tree
 
 _GROUPS = frozenset("PSBIKDT")
-#: Faulty statements of one file that are searched for repairs; each further one counts as one edit.
-EXACT = 4
+#: Levels of groups whose costs are found by recursion; those below are found first, on their own.
+LEVELS = 40
 # What follows a block and still belongs to its statement, by language.
 _COMMON = {";", ";nl", ",", ".", "else", "catch", "finally", "while", "B", "="}
 _AFTER = {
@@ -21,26 +21,34 @@ _AFTER["ts"] = _AFTER["js"] | {"<"}
 _AFTER["qml"] = _AFTER["js"]
 
 
+class _Deeper(Exception):
+    """A group too far down whose cost must be found first."""
+
+
 class Parser:
     """Repair costs of one language's files. Costs of equal content are computed once."""
 
     def __init__(self, lang: str):
         self.lang = FAMILY.get(lang, lang)
         self.g = grammar(self.lang)
-        self.chart = Chart(self.g, self._inside)
+        self.chart = Chart(self.g, self._inside, self._admits)
         self.numbers: dict[tuple, str] = {}
-        self.contents: list[tuple] = []
         self.classes: dict[tuple, int] = {}
         self.modes: dict[str, frozenset] = {}
         self.costs: dict[tuple[str, str], int] = {}
+        self.fine: dict[tuple, str] = {}
+        self.coarse: dict[str, str] = {}
+        self.kinds: dict[str, tuple] = {}
+        self.named: dict[int, str] = {}
         self.rules: dict[str, set] = {}
         for _, body in self.g.flat:
             for t in body:
                 if t[1:2] == ":" and t[0] != "'":
                     self.rules.setdefault(t[0], set()).add(t[2:])
         self.valid: dict[tuple, bool] = {}
-        self.cheap = self.strict = False
-        self.minimal = True  # whether the cost of the last file is a minimum
+        self.level = 0
+        self.strict = False  # whether the caller asks only for costs of 0
+        self.minimal = True  # whether the cost of the last file is certainly the least of the whole file
 
     def kind(self, node: tuple) -> str:
         """A token's kind, or a group's: valid groups are told apart only by the rules their content
@@ -48,6 +56,9 @@ class Parser:
         k, _, c = node
         if c is None:
             return k
+        name = self.named.get(id(node))
+        if name is not None:
+            return name
         key = (k, tuple([x[0] if x[2] is None else self.kind(x) for x in c]))
         name = self.numbers.get(key)
         if name is None:
@@ -57,9 +68,22 @@ class Parser:
                 name = f"#{k}~{n}"
                 self.modes[name] = fits
             else:
-                name = f"#{k}{len(self.contents)}"
-                self.contents.append(key[1])
+                name = f"#{k}{len(self.numbers)}"
             self.numbers[key] = name
+        self.named[id(node)] = name
+        return name
+
+    def _exactly(self, node: tuple) -> str:
+        """The kind of a token or group whose cost is asked for: all different contents are told apart."""
+        k, _, c = node
+        if c is None:
+            return k
+        kinds = tuple([x[0] if x[2] is None else self._exactly(x) for x in c])
+        key = (self.kind(node), kinds)
+        name = self.fine.get(key)
+        if name is None:
+            name = self.fine[key] = f"{key[0]}.{len(self.fine)}"
+            self.coarse[name], self.kinds[name] = key
         return name
 
     def _fits(self, bracket: str, rule: str, kinds: tuple) -> bool:
@@ -69,43 +93,61 @@ class Parser:
         finally:
             self.strict = held
 
+    def _admits(self, kind: str, rule: str) -> bool:
+        return rule in self.modes.get(self.coarse.get(kind, kind), ())
+
     def _inside(self, kind: str, rule: str) -> int:
-        fits = self.modes.get(kind)
-        if fits is not None:
-            if rule not in fits:
-                self.chart.touched = True
-            return 0 if rule in fits else 1
+        """Cost of a group's content: 0, 1, or 2 for all above, since the chart can put a new group in its
+        place for two edits."""
+        if self._admits(kind, rule):
+            return 0
         key = (kind, rule)
         c = self.costs.get(key)
         if c is None:
-            # no rule fits this content, so it costs at least one edit; lower bounds are not kept
-            if self.cheap or self.strict:
-                return 1
-            c = self.costs[key] = max(1, self.content(kind[1], rule, self.contents[int(kind[2:])]))
+            if self.level == LEVELS:
+                raise _Deeper(key)
+            self.level += 1
+            try:
+                c = self.costs[key] = max(1, self.content(kind[1], rule, self.kinds[kind], 2))
+            finally:
+                self.level -= 1
         return c
 
-    def content(self, bracket: str, rule: str, kinds: tuple) -> int:
+    def _priced(self, rule: str, kinds: tuple) -> int:
+        """Repair cost of one piece with groups nested to any depth."""
+        waiting: list[tuple[str, str]] = []
+        while True:
+            try:
+                if not waiting:
+                    return self._statement(rule, kinds)
+                self._inside(*waiting[-1])
+                waiting.pop()
+            except _Deeper as e:
+                waiting.append(e.args[0])
+
+    def content(self, bracket: str, rule: str, kinds: tuple, cap: int | None = None) -> int:
+        """Cost of a group's content under a rule; where it is ``cap`` or more, at least ``cap``."""
         if rule == "any":
             return 0
         if rule in STATEMENTS[self.lang] and bracket not in "PS":
             total = 0
             for part in self.statements(kinds):
-                total += self._statement(STATEMENTS[self.lang][rule], part)
-                if total and self.strict:
+                total += self._statement(STATEMENTS[self.lang][rule], part, cap)
+                if total and (self.strict or total == cap):
                     break
-            return total
+            return total if cap is None else min(total, cap)
         if (bracket, rule) in COMMA[self.lang]:
             kinds = tuple(k for k in kinds if k not in (";nl", "NL", "PP"))
             if self.lang == "python" and (rule == "group" or rule == "elems" or rule == "entries" or rule == "args") and "for" in kinds:
-                return self._statement({"entries": "entry", "args": "arg"}.get(rule, rule), kinds)
-            return self._commas(*COMMA[self.lang][bracket, rule], kinds, rule)
+                return self._statement({"entries": "entry", "args": "arg"}.get(rule, rule), kinds, cap)
+            return self._commas(*COMMA[self.lang][bracket, rule], kinds, rule, cap)
         if self.lang == "ruby" and bracket in "PS":
             kinds = tuple(k for k in kinds if k != "NL")
         elif bracket in "PS":
             kinds = tuple(k for k in kinds if k not in (";nl", "PP"))
-        return self._statement(rule, kinds)
+        return self._statement(rule, kinds, cap)
 
-    def _commas(self, element: str, empty: bool, trailing: bool, kinds: tuple, rule: str) -> int:
+    def _commas(self, element: str, empty: bool, trailing: bool, kinds: tuple, rule: str, cap: int | None = None) -> int:
         if not kinds:
             return 0
         parts: list[list] = [[]]
@@ -127,10 +169,10 @@ class Parser:
             if not p:
                 total += 0 if empty else 1
             else:
-                total += self._statement(element, tuple(p))
-            if total and self.strict:
+                total += self._statement(element, tuple(p), cap)
+            if total and (self.strict or total == cap):
                 break
-        return total
+        return total if cap is None else min(total, cap)
 
     def _closes(self, kinds: tuple, n: int) -> bool:
         """Whether the angle bracket open at a comma is closed by what may only be type arguments."""
@@ -148,28 +190,17 @@ class Parser:
                 return False
         return False
 
-    def _statement(self, rule: str, kinds: tuple) -> int:
+    def _statement(self, rule: str, kinds: tuple, cap: int | None = None) -> int:
         """Repair cost of one piece; only whether it is 0 where the caller asks no more."""
-        c, key = self.chart, (rule, kinds)
-        cost = c.memo.get(key)
-        if cost is not None:
-            c.touched |= key in c.bounds
-            return cost
-        if len(c.memo) > 300_000:
-            c.memo.clear()
+        key = (rule, tuple([self.coarse.get(k, k) for k in kinds]))
         known = self.valid.get(key)
         if known is None:
             if len(self.valid) > 300_000:
                 self.valid.clear()
-            held = c.touched
-            known = self.valid[key] = not self._barred(rule, kinds) and (c._exact(rule, kinds) or self._soft(rule, kinds))
-            c.touched = held
+            known = self.valid[key] = not self._barred(*key) and (self.chart._exact(*key) or self._soft(*key))
         if known:
             return 0
-        if self.strict or self.cheap:
-            c.touched = True
-            return 1
-        return max(1, c.cost(rule, kinds))
+        return 1 if self.strict else max(1, self.chart.cost(rule, kinds, cap))
 
     def _barred(self, rule: str, kinds: tuple) -> bool:
         """JavaScript: what the grammar would take for an assignment or a declaration, but is none."""
@@ -248,9 +279,10 @@ class Parser:
 
         Without ``count`` only whether the cost is 0 is certain; each faulty statement counts as one edit.
         """
+        self.named.clear()  # nodes are known by their identity while their tree lives
         tree = Tree(self.lang, text)
         edits = list(tree.repairs)
-        cost, faulty = len(edits), 0
+        cost = len(edits)
         kinds = tuple(self.kind(n) for n in tree.nodes)
         rule = UNIT[self.lang]
         if rule in STATEMENTS[self.lang]:
@@ -258,30 +290,37 @@ class Parser:
         else:
             cuts, start = [(0, len(kinds))], rule
             kinds = tuple(kinds)
-        self.chart.touched = False
         for at in self._misnamed(tree, kinds):
             cost += 1
             edits.append((at, "grammar"))
         for a, b in cuts:
-            self.cheap = not count or faulty >= EXACT or len(edits) > 40
             piece = kinds[a:b]
             if start == "unit" and self.lang == "json" and not piece:
                 c = 1
             else:
-                c = self._statement(start, piece)
+                c = self._faulty(start, piece)
+            if c and count and piece:
+                c = self._priced(start, tuple([self._exactly(x) for x in tree.nodes[a:b]]))
             if c:
-                faulty += 1
                 cost += c
                 edits.append((self._where(tree.nodes[a:b], start), "grammar"))
         if self.lang == "json" and not kinds:
             cost += 1
             edits.append((0, "grammar"))
-        self.cheap = False
-        self.minimal = not self.chart.touched
-        if len(self.contents) + len(self.numbers) > 400_000:  # bounded memory; shapes are learned again
+        self.minimal = cost <= 1
+        self.named.clear()
+        if len(self.numbers) + len(self.fine) + len(self.costs) > 400_000:  # bounded memory; shapes are learned again
             self.__init__(self.lang)
         return cost, edits, tree, len(cuts)
 
+    def _faulty(self, rule: str, kinds: tuple) -> int:
+        """1 for a piece that does not parse, else 0."""
+        held, self.strict = self.strict, True
+        try:
+            return self._statement(rule, kinds)
+        finally:
+            self.strict = held
+
     def _misnamed(self, tree: Tree, kinds: tuple) -> list[int]:
         """Positions of faults beyond token kinds: a Go file that does not begin with its package, a Ruby
         class or module whose name is no constant."""
@@ -303,9 +342,9 @@ class Parser:
             if node[2] and node[0] in "BIKDT":
                 kinds = tuple(self.kind(x) for x in node[2])
                 for r in dict.fromkeys(stmts.values()):
-                    if node[0] == "B" and any(self._statement(r, s) == 0 for s in self.statements(kinds)) or node[0] != "B":
+                    if node[0] == "B" and any(self._faulty(r, s) == 0 for s in self.statements(kinds)) or node[0] != "B":
                         for a, b in self.cuts(kinds):
-                            if self._statement(r, kinds[a:b]):
+                            if self._faulty(r, kinds[a:b]):
                                 return self._where(node[2][a:b], r)
                         break
         return at

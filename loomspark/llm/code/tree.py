@@ -156,9 +156,13 @@ class Tree:
     def _ruby_lines(flat: list) -> list:
         goes_on = {",", "(", "[", "{", ".", "&.", "&&", "||", "=", "+", "-", "*", "/", "%", "==", "!=", "<", "<=", ">=", "<<", "=~", "=>", "+=", "-=", "*=", "||=", "&&=", "?", "and", "or", "not", "::", "\\", "!", "NL"}
         out: list = []
+        following, nxt = [""] * len(flat), ""  # the next kind that is no line end
+        for n in range(len(flat) - 1, -1, -1):
+            following[n] = nxt
+            nxt = flat[n][0] if flat[n][0] != "NL" else nxt
         for n, (kind, at) in enumerate(flat):
             if kind == "NL":
-                nxt = next((k for k, _ in flat[n + 1 : n + 40] if k != "NL"), "")
+                nxt = following[n]
                 if not out or out[-1][0] in goes_on or nxt in (".", "&."):
                     continue
             if kind == "\\":
