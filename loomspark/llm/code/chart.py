@@ -9,7 +9,9 @@ pass without repairs settles valid sequences. Others are parsed cheapest first (
 of shortest paths, A*): by the cost of all before an item's end and a lower bound of what comes after,
 so the first parse of the whole sequence is a minimum, whatever the length or the number of edits. The
 bound is the cost of bringing the other tokens into a regular language that holds the grammar's: rules
-may return to any place that calls them.
+may return to any place that calls them. Where the bound says too little (texts of another language) the
+search would meet nearly all items; after as many steps as the costs of all spans would take in arrays,
+it is left for these, which give the same minimum.
 """
 
 from __future__ import annotations
@@ -210,6 +212,118 @@ class Paths:
         return out
 
 
+class Spans:
+    """Least costs of a rule for every span of a sequence, from short to long, all spans of a length at once.
+
+    Beginnings of rules are the rows; equal beginnings are one. Every span begins with a token that stays or
+    is replaced, superfluous tokens follow such a token, so those before the first are dropped ahead of all.
+    """
+
+    #: Steps of the search by cost that take as long as a length's share and as a million sums of two spans.
+    LENGTH, SUMS = 150, 60
+
+    def __init__(self, g: Grammar, start: str, shortest: dict[str, int]):
+        names, work = {start: 0}, [start]
+        while work:
+            for body in g.rules[work.pop()]:
+                for s in body:
+                    if s in g.rules and s not in names:
+                        names[s] = len(names)
+                        work.append(s)
+        gap = lambda body: sum([shortest.get(x, 1) for x in body])
+        rows = sorted(dict.fromkeys([(start,), *[b[:k] for x in names for b in g.rules[x] for k in range(1, len(b) + 1)]]), key=len)
+        at = {b: k for k, b in enumerate(rows)}
+        none = len(rows)  # a row of costs beyond all
+        self.size, self.least = none + 1, shortest[start]
+        self.before = np.array([gap(b[:-1]) for b in rows])[:, None]
+        own = np.array([gap(b[-1:]) for b in rows])[:, None]
+        parent = np.array([at.get(b[:-1], none) for b in rows])
+        depths = [np.flatnonzero([len(b) == k for b in rows]) for k in range(2, len(rows[-1]) + 1)]
+        self.chain = [(slice(d[0], d[-1] + 1), parent[d], own[d]) for d in depths if len(d)]
+        self.terminals = list(dict.fromkeys(b[-1] for b in rows if b[-1] not in g.rules))
+        number = {t: k for k, t in enumerate(self.terminals)}
+        self.ends = np.flatnonzero([b[-1] not in g.rules for b in rows])
+        self.kind, self.to = np.array([number[rows[k][-1]] for k in self.ends], dtype=int), parent[self.ends]
+        self.calls = np.flatnonzero([b[-1] in g.rules for b in rows])
+        self.called = np.array([names[rows[k][-1]] for k in self.calls], dtype=int)
+        self.pairs = np.array([k for k in self.calls if len(rows[k]) > 1], dtype=int)
+        self.left, self.right = parent[self.pairs], np.array([names[rows[k][-1]] for k in self.pairs], dtype=int)
+        whole, edges = [], []
+        for x in names:
+            whole.append({at[b]: 0 for b in g.rules[x] if b} or {none: 0})
+            found = {names[x]: 0}
+            for b in g.rules[x]:
+                for s in b:
+                    if s in names:
+                        found[names[s]] = min(found.get(names[s], Paths.FAR), gap(b) - shortest[s])
+            edges.append(found)
+        self.count = len(names)
+        self.whole, self.edges = self._groups(whole), [e for e in self._groups(edges) if e[1].shape[1] > 1]
+
+    @staticmethod
+    def _groups(parts: list[dict[int, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, what they are the least of and what is added; together, rows of about as many of them."""
+        by: dict[int, list[int]] = {}
+        for k, p in enumerate(parts):
+            by.setdefault((len(p) - 1).bit_length(), []).append(k)
+        out = []
+        for rows in by.values():
+            most = max(len(parts[k]) for k in rows)
+            full = [[*parts[k].items()] + [next(iter(parts[k].items()))] * (most - len(parts[k])) for k in rows]
+            out.append((np.array(rows), np.array([[x for x, _ in f] for f in full]), np.array([[[c] for _, c in f] for f in full])))
+        return out
+
+    def steps(self, n: int) -> int:
+        """About how many steps of the search by cost take as long as this."""
+        return self.LENGTH * n + self.SUMS * len(self.pairs) * n**3 // 6_000_000
+
+    def cost(self, misses: list[dict[str, int]]) -> int:
+        """``misses`` tells by position what it costs to take the token there for a terminal."""
+        n = len(misses)
+        if not n:
+            return self.least
+        kind, far = (np.int16, 15_000) if n < 10_000 else (np.int32, 1 << 29)
+        before = self.before.astype(kind)
+        chain, edges = [[(to, of, more.astype(kind)) for to, of, more in x] for x in (self.chain, self.edges)]
+        miss = np.array([[m[t] for m in misses] for t in self.terminals], dtype=kind).reshape(-1, n)[self.kind]
+        lefts: list[np.ndarray] = [np.empty(0)]  # by length, then by start: what comes before a call
+        rights: list[np.ndarray] = [np.empty(0)]  # and what is called
+        sums = np.empty((n, len(self.pairs)), dtype=kind)
+        best, last = n + self.least, None
+        for length in range(1, n + 1):
+            w = n - length + 1
+            x = np.full((self.size, w), far, dtype=kind)
+            if last is None:
+                x[self.ends] = before[self.ends] + miss
+            else:
+                x[self.ends] = np.minimum(np.minimum(last[self.ends, :w] + 1, last[self.to, :w] + miss[:, length - 1 :]), far)
+            total = np.full((w, len(self.pairs)), far, dtype=kind)
+            for k in range(1, length):
+                np.add(lefts[k][:w], rights[length - k][k : k + w], out=sums[:w])
+                np.minimum(total, sums[:w], out=total)
+            x[self.pairs] = total.T
+            self._insert(x, chain)
+            c, known = np.empty((self.count, w), dtype=kind), None
+            for to, of, _ in self.whole:
+                c[to] = x[of].min(axis=1)
+            while known is None or (known != c).any():
+                known = c.copy()
+                for to, of, more in edges:
+                    c[to] = (c[of] + more).min(axis=1)
+            x[self.calls] = np.minimum(x[self.calls], before[self.calls] + c[self.called])
+            self._insert(x, chain)
+            best = min(best, n - length + int(c[0, -1]))
+            lefts.append(np.ascontiguousarray(x[self.left].T))
+            rights.append(np.ascontiguousarray(c[self.right].T))
+            last = x
+        return best
+
+    @staticmethod
+    def _insert(x: np.ndarray, chain: list) -> None:
+        for rows, parent, own in chain:
+            x[rows] = np.minimum(x[rows], x[parent] + own)
+
+
 class Chart:
     """Parses sequences of token kinds. A bracket group's kind is '#' + bracket + number; ``inside``
     gives the repair cost of a group's content under a content rule."""
@@ -225,6 +339,7 @@ class Chart:
         for name, body in grammar.flat:
             self.starts.setdefault(name, []).append(self._dotted(name, body))
         self.paths: dict[str, tuple[int, Paths]] = {}
+        self.spans: dict[str, Spans] = {}
         self.shortest = dict.fromkeys(grammar.rules, Paths.FAR)
         grew = True
         while grew:
@@ -248,13 +363,26 @@ class Chart:
             if len(self.memo) > 300_000:
                 self.memo.clear()
                 self.paths.clear()
-            c = self.memo[key] = 0 if self._exact(start, kinds) else self._repair(start, kinds, cap)
+            c = 0 if self._exact(start, kinds) else self._repair(start, kinds, cap)
+            self.memo[key] = -1 if c is None else c
+        if c is None or c < 0:
+            c = self.memo[key] = self._spanned(start, kinds)
         return c
 
     def _misses(self, terminal: str, kind: str) -> int:
         """1 if a token is not what a terminal stands for, or is a group that its rule does not fit."""
         return 0 if self.g.match(terminal, kind) and (terminal[1:2] != ":" or terminal[0] == "'" or self.fits(kind, terminal[2:])) else 1
 
+    def _spanned(self, start: str, kinds: tuple[str, ...]) -> int:
+        """Least repair cost, by the costs of all spans."""
+        misses: dict[str, dict[str, int]] = {}
+        for k in dict.fromkeys(kinds):
+            misses[k] = m = {t: self._misses(t, k) for t in self.spans[start].terminals}
+            for t, c in m.items():
+                if c and t[1:2] == ":" and t[0] != "'" and self.g.match(t, k):
+                    m[t] = min(2, self.inside(k, t[2:]))
+        return self.spans[start].cost([misses[k] for k in kinds])
+
     def _exact(self, start: str, kinds: tuple[str, ...]) -> bool:
         g, flat, n = self.g, self.g.flat, len(kinds)
         sets: list[set] = [set() for _ in range(n + 1)]
@@ -303,8 +431,8 @@ class Chart:
                 return False
         return any(r in goal and o == 0 and d == len(flat[r][1]) for r, d, o in sets[n]) or (n == 0 and start in g.nullable)
 
-    def _repair(self, start: str, kinds: tuple[str, ...], cap: int | None = None) -> int:
-        """Least repair cost, ``cap`` at most.
+    def _repair(self, start: str, kinds: tuple[str, ...], cap: int | None = None) -> int | None:
+        """Least repair cost, ``cap`` at most; None where the costs of all spans are found sooner.
 
         Items are (position, dotted rule, origin), taken in the order of the least cost of everything up
         to their position and the bound of the rest, which never falls from one item to the next. Origins
@@ -338,6 +466,11 @@ class Chart:
         least: list[dict[str, int]] = [{} for _ in range(n + 1)]  # name -> least cost of what waits for it
         ends: list[dict] = [{} for _ in range(n + 1)]  # name -> lengths (as bits) and, by length, least costs of constituents from here
         code = "H" if top < 1 << 16 else "L"
+        steps = -1
+        if cap is None:
+            if start not in self.spans:
+                self.spans[start] = Spans(g, start, self.shortest)
+            steps = self.spans[start].steps(n)
         later: list[tuple] = []  # items that ask for the cost of a group's content, when all others of their cost are done
 
         def put(i: int, d: int, origins: int, cost: int) -> None:
@@ -365,6 +498,9 @@ class Chart:
                 if not origins:
                     continue
                 done[i][d] = old | origins
+                if not steps:
+                    return None
+                steps -= 1
                 if d >= size:
                     d -= size
                     cost = at - bounds[i][row[d]]
